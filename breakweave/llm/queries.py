@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from breakweave.llm import bpe
+from breakweave.llm import bpe, packing
 from breakweave.llm.common import table
 
 
@@ -21,8 +21,13 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=1, capacity=2048)
+
+
 QUERIES = {
     "op7_byte_bpe": op7_byte_bpe,
+    "op8_harmonic_packing": op8_harmonic_packing,
 }
 
 ORACLE_SQL: dict[str, str] = {}
