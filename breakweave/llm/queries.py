@@ -6,10 +6,25 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from breakweave.llm import bpe, licenses, packing, urls
+from breakweave.llm import bpe, licenses, media, packing, urls
 from breakweave.llm.common import table
 
 
+def op4_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    payload = F.col("payload")
+    read = media.stored(table(spark, sf_dir, "documents")).select(
+        "doc_id",
+        "n_bytes",
+        F.length(payload).cast("long").alias("payload_bytes"),
+        F.sha2(payload, 256).alias("payload_sha256"),
+        F.crc32(F.substring(payload, -media.WIDTH, media.WIDTH)).alias("tail_crc32"),
+        "media_bytes",
+        "media_sha256",
+        "payload",
+    )
+    return media.with_features(read)
+
+
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
     encoded = bpe.encode(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
@@ -38,6 +53,7 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op4_media_columns": op4_media_columns,
     "op7_byte_bpe": op7_byte_bpe,
     "op8_harmonic_packing": op8_harmonic_packing,
     "op9_url_filter": op9_url_filter,
