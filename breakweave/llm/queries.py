@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from breakweave.llm import bpe, licenses, media, packing, urls
+from breakweave.llm import bpe, licenses, media, packing, simhash, urls
 from breakweave.llm.common import table
 
 
@@ -25,6 +25,11 @@ def op4_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.with_features(read)
 
 
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
     encoded = bpe.encode(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
@@ -54,6 +59,7 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op4_media_columns": op4_media_columns,
+    "op5_simhash": op5_simhash,
     "op7_byte_bpe": op7_byte_bpe,
     "op8_harmonic_packing": op8_harmonic_packing,
     "op9_url_filter": op9_url_filter,
