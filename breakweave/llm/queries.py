@@ -6,10 +6,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from breakweave.llm import bpe, licenses, media, packing, simhash, urls
+from breakweave.llm import bpe, licenses, media, nearest, packing, simhash, urls
 from breakweave.llm.common import table
 
 
+def op3_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest.search(table(spark, sf_dir, "embeddings"), every=20, k=20)
+
+
 def op4_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     payload = F.col("payload")
     read = media.stored(table(spark, sf_dir, "documents")).select(
@@ -58,6 +62,7 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op3_nearest": op3_nearest,
     "op4_media_columns": op4_media_columns,
     "op5_simhash": op5_simhash,
     "op7_byte_bpe": op7_byte_bpe,
