@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from breakweave.llm import bpe, licenses, media, nearest, packing, simhash, urls
+from breakweave.llm import bpe, licenses, media, nearest, packing, quality, simhash, urls
 from breakweave.llm.common import table
 
 
@@ -34,6 +34,10 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents"))
+
+
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
     encoded = bpe.encode(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
@@ -65,6 +69,7 @@ QUERIES = {
     "op3_nearest": op3_nearest,
     "op4_media_columns": op4_media_columns,
     "op5_simhash": op5_simhash,
+    "op6_quality": op6_quality,
     "op7_byte_bpe": op7_byte_bpe,
     "op8_harmonic_packing": op8_harmonic_packing,
     "op9_url_filter": op9_url_filter,
