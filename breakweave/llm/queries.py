@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from breakweave.llm import bpe, licenses, media, nearest, packing, quality, simhash, substrings, urls
+from breakweave.llm import bpe, licenses, media, nearest, packing, quality, scoring, simhash, substrings, urls
 from breakweave.llm.common import table
 
 
@@ -14,6 +14,10 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.named(substrings.spans(table(spark, sf_dir, "documents")))
 
 
+def op2_mixing_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scoring.score(table(spark, sf_dir, "documents"))
+
+
 def op3_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest.search(table(spark, sf_dir, "embeddings"), every=20, k=20)
 
@@ -71,6 +75,7 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
+    "op2_mixing_scores": op2_mixing_scores,
     "op3_nearest": op3_nearest,
     "op4_media_columns": op4_media_columns,
     "op5_simhash": op5_simhash,
