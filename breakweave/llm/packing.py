@@ -15,12 +15,16 @@ has no piece; a null doc_id is carried as null; repeated rows are packed as ofte
 
 from __future__ import annotations
 
+import json
 import zlib
+from array import array
 from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import regex
+import tiktoken
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -29,6 +33,7 @@ from breakweave.llm.common import per_document, stage, text_bytes
 
 #: Distinct words whose ids a worker remembers; it then starts afresh.
 REMEMBERED = 1_000_000
+END_OF_WORD = b"\xff"
 
 
 def tail_classes(capacity: int, smallest: int) -> list[int]:
@@ -54,37 +59,70 @@ def cut(total: int, capacity: int, smallest: int, tails: list[int]) -> list[tupl
     return out
 
 
-def word_encoder(path: str, end_id: int | None) -> Callable[[str], np.ndarray]:
-    """A function from a text to its ids, then end_id.
+class WordIds(dict):
+    """Ids (little-endian) of stretches of text between blanks and line feeds, encoded when first asked for.
 
-    The tokenizer's own split never joins characters across a blank or a line feed and drops both, so each stretch
-    between them is encoded once and remembered.
+    The tokenizer drops blanks and line feeds and joins nothing across them, so each stretch can be encoded alone. One of
+    printable ASCII and precomposed Latin-1 characters is only lower-cased and split here; its parts are merged by the
+    tokenizer's own ranks, the end of a word being one more byte that no UTF-8 text has. Any other goes to the tokenizer.
     """
-    tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
-    known: dict[str, bytes] = {"": b""}
+
+    def __init__(self, path: str):
+        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.encode_special_tokens = True
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        self.split = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
+        self.plain = regex.compile(r"[!-~\xc0-\xff]+")
+        as_byte = {c: bytes([b]) for b, c in _byte_characters().items()}
+        suffix, special = spec["model"]["end_of_word_suffix"], {t["content"] for t in spec["added_tokens"]}
+        ranks = {}
+        for token, rank in spec["model"]["vocab"].items():
+            if token not in special:
+                whole = token.endswith(suffix)
+                ranks[b"".join(as_byte[c] for c in token.removesuffix(suffix)) + END_OF_WORD * whole] = rank
+        self.merges = tiktoken.Encoding("words", pat_str=r"\S+", mergeable_ranks=ranks, special_tokens={})
+        self.parts: dict[str, bytes] = {}
+
+    def __missing__(self, word: str) -> bytes:
+        if len(self) > REMEMBERED:
+            self.clear()
+        if self.plain.fullmatch(word):
+            found = b"".join([self.parts.get(p) or self._part(p) for p in self.split.findall(word.lower())])
+        else:
+            found = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+        self[word] = found
+        return found
+
+    def _part(self, part: str) -> bytes:
+        if len(self.parts) > REMEMBERED:
+            self.parts.clear()
+        found = self.parts[part] = array("I", self.merges._encode_single_piece(part.encode() + END_OF_WORD)).tobytes()
+        return found
+
+
+def _byte_characters() -> dict[int, str]:
+    """The printable character that stands for each byte in byte-level vocabularies."""
+    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in printable]
+    return {b: chr(b) for b in printable} | {b: chr(256 + k) for k, b in enumerate(others)}
+
+
+def word_encoder(path: str, end_id: int | None) -> Callable[[str], np.ndarray]:
+    """A function from a text to its ids, then end_id."""
+    known = WordIds(path)
     end = b"" if end_id is None else np.array([end_id], "<u4").tobytes()
 
     def encode(text: str) -> np.ndarray:
-        words = text.replace("\n", " ").split(" ")
-        try:
-            found = [known[w] for w in words]
-        except KeyError:
-            if len(known) > REMEMBERED:
-                known.clear()
-                known[""] = b""
-            fresh = [w for w in set(words) if w not in known]
-            for w, got in zip(fresh, tokenizer.encode_batch(fresh, add_special_tokens=False), strict=True):
-                known[w] = np.array(got.ids, "<u4").tobytes()
-            found = [known[w] for w in words]
+        found = [known[w] for w in text.replace("\n", " ").split(" ")]
         found.append(end)
         return np.frombuffer(b"".join(found), "<u4")
 
     return encode
 
 
-def pieces(df: DataFrame, path: str, end_id: int | None, capacity: int = 2048, smallest: int = 64, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """A row for each piece: doc_id, start, length, ids_crc32, doc_tokens, cls and the ids themselves."""
+def pieces(df: DataFrame, path: str, end_id: int | None, capacity: int = 2048, smallest: int = 64, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
+    """A row for each piece: doc_id, start, length, ids_crc32, doc_tokens, cls, and ids (null unless asked for)."""
     tails = tail_classes(capacity, smallest)
     schema = pa.schema([("doc_id", pa.int64()), ("doc_tokens", pa.int64()), ("start", pa.list_(pa.int64())), ("length", pa.list_(pa.int64())), ("cls", pa.list_(pa.int64())), ("ids_crc32", pa.list_(pa.int64())), ("ids", pa.list_(pa.binary()))])
 
@@ -95,7 +133,7 @@ def pieces(df: DataFrame, path: str, end_id: int | None, capacity: int = 2048, s
             ids = encode(text)
             found = cut(len(ids), capacity, smallest, tails)
             data = [ids[a : a + n].tobytes() for a, n, _ in found]
-            return (doc_id, len(ids), [a for a, _, _ in found], [n for _, n, _ in found], [m for _, _, m in found], [zlib.crc32(x) for x in data], data), ids.nbytes + 64
+            return (doc_id, len(ids), [a for a, _, _ in found], [n for _, n, _ in found], [m for _, _, m in found], [zlib.crc32(x) for x in data], data if with_ids else [None] * len(data)), ids.nbytes * with_ids + 40 * len(data) + 64
 
         return each
 
@@ -158,7 +196,7 @@ def assign(cut_pieces: DataFrame, capacity: int = 2048, smallest: int = 64) -> D
 
 def pack(df: DataFrame, path: str, end_id: int | None = 1, capacity: int = 2048, smallest: int = 64, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
     """A row for each piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset (and ids, little-endian)."""
-    found = pieces(df, path, end_id, capacity, smallest, id_col, text_col)
+    found = pieces(df, path, end_id, capacity, smallest, id_col, text_col, with_ids)
     if not with_ids:
         return assign(stage(found.drop("ids")), capacity, smallest)
     found = stage(found)
