@@ -160,7 +160,7 @@ def weak_labels(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
 
 
 def classify(df: DataFrame, keep: float = KEEP, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
-    """A row for each row of df: doc_id, score (probability of good), kept; `carry` are columns of df to pass on before these."""
+    """A row for each row of df: doc_id, score (probability of good), kept; or the columns `carry`, __score and __kept."""
     voted, posterior, _ = weak_labels(df, id_col, text_col)
     least = voted.orderBy("h").limit(sample).agg(F.max("h")).first()[0]
     weights = np.zeros(BUCKETS + 1, np.float32)
@@ -177,15 +177,20 @@ def classify(df: DataFrame, keep: float = KEEP, sample: int = SAMPLE, id_col: st
         y = np.array([posterior[r["pattern"]] for r in rows])
         if len(rows):
             weights = train(np.stack([np.frombuffer(r["x"], "<f2").astype(np.float32) for r in rows]), y)
-    carry = carry or []
-    schema = df.select(*carry, F.col(id_col).cast("long").alias("doc_id"), F.lit(0.0).alias("score"), F.lit(True).alias("kept")).schema
-    text_at, id_at = len(carry), len(carry) + 1
+    passed = [F.col(id_col).cast("long").alias("doc_id")] if carry is None else [F.col(c) for c in carry]
+    mark = "" if carry is None else "__"
+    schema = df.select(*passed, F.lit(0.0).alias(f"{mark}score"), F.lit(True).alias(f"{mark}kept")).schema
 
     def score(batches):
         for part in slices(batches):
-            x = np.stack([features(decoded(t)) for t in part.column(text_at).to_pylist()])
+            x = np.stack([features(decoded(t)) for t in part.column(part.num_columns - 1).to_pylist()])
             p = 1 / (1 + np.exp(-np.clip((x @ weights[:-1]).astype(np.float64) + float(weights[-1]), -30, 30)))
-            yield pa.RecordBatch.from_arrays([*part.columns[:text_at], part.column(id_at), pa.array(p), pa.array(p >= keep)], names=schema.names)
+            yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(p), pa.array(p >= keep)], names=schema.names)
 
-    source = df.select(*carry, F.coalesce(F.col(text_col).cast("binary"), F.lit(b"").cast("binary")).alias("__text"), F.col(id_col).cast("long").alias("__id"))
+    source = df.select(*passed, F.coalesce(F.col(text_col).cast("binary"), F.lit(b"").cast("binary")).alias("__text"))
     return source.mapInArrow(score, schema)
+
+
+def kept(df: DataFrame, keep: float = KEEP, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of df that classify() keeps."""
+    return classify(df, keep, id_col=id_col, text_col=text_col, carry=df.columns).where("__kept").drop("__score", "__kept")
