@@ -1 +1 @@
-
+"""Column builders: CIGAR, log space, intervals, sequences, call strings."""

@@ -1 +1 @@
-
+"""Operators over interval and evidence DataFrames."""

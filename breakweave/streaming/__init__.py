@@ -1 +1 @@
-
+"""Ordered and windowed evaluation over streams."""
