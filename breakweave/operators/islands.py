@@ -11,8 +11,9 @@ def island(df: DataFrame, keys: list[str], start: str, end: str, name: str, gap:
     ordered = Window.partitionBy(*keys).orderBy(start, end)
     reach = F.max(end).over(ordered.rowsBetween(Window.unboundedPreceding, -1)) + gap
     opens = F.col(start) > reach if touching else F.col(start) >= reach
+    # intervals that sort alike are peers of the running sum and share an island, whichever of them opened it
     marked = df.withColumn("__opens", F.when(reach.isNull() | opens, 1).otherwise(0))
-    return marked.withColumn(name, F.sum("__opens").over(ordered.rowsBetween(Window.unboundedPreceding, 0)).cast("long")).drop("__opens")
+    return marked.withColumn(name, F.sum("__opens").over(ordered).cast("long")).drop("__opens")
 
 
 def merged(df: DataFrame, keys: list[str], start: str = "start", end: str = "end", gap: int = 0, touching: bool = True) -> DataFrame:

@@ -10,9 +10,9 @@ G = "chrom_l, chrom_r, sv_type, island_r, island_l"
 #: Islands of right intervals, then of left ones within, touching intervals together.
 ISLANDS = f"""{duck("evidence")}, {WINDOWS},
 r1 as (select *, max(finish_r) over (partition by chrom_l, chrom_r, sv_type order by begin_r, finish_r rows between unbounded preceding and 1 preceding) as reach from windows),
-r2 as (select *, sum(case when reach is null or begin_r > reach then 1 else 0 end) over (partition by chrom_l, chrom_r, sv_type order by begin_r, finish_r rows between unbounded preceding and current row) as island_r from r1),
+r2 as (select *, sum(case when reach is null or begin_r > reach then 1 else 0 end) over (partition by chrom_l, chrom_r, sv_type order by begin_r, finish_r) as island_r from r1),
 l1 as (select *, max(finish_l) over (partition by chrom_l, chrom_r, sv_type, island_r order by begin_l, finish_l rows between unbounded preceding and 1 preceding) as reach_l from r2),
-members as (select * exclude (reach, reach_l, island_r), cast(island_r as bigint) as island_r, cast(sum(case when reach_l is null or begin_l > reach_l then 1 else 0 end) over (partition by chrom_l, chrom_r, sv_type, island_r order by begin_l, finish_l rows between unbounded preceding and current row) as bigint) as island_l from l1)"""
+members as (select * exclude (reach, reach_l, island_r), cast(island_r as bigint) as island_r, cast(sum(case when reach_l is null or begin_l > reach_l then 1 else 0 end) over (partition by chrom_l, chrom_r, sv_type, island_r order by begin_l, finish_l) as bigint) as island_l from l1)"""
 
 _RATE = "(-ln(0.0001) / 20)"
 CURVES = f"""{ISLANDS},
@@ -57,7 +57,7 @@ SPLIT_SANE = "mapq >= 20 and (strand_l <> strand_r or query_l <> query_r) and (c
 
 def merged(source: str, gap: int) -> str:
     return f"""select chrom, min("start") as "start", max("end") as "end", count(*) as n from (
- select *, sum(case when reach is null or "start" > reach + {gap} then 1 else 0 end) over (partition by chrom order by "start", "end" rows between unbounded preceding and current row) as island from (
+ select *, sum(case when reach is null or "start" > reach + {gap} then 1 else 0 end) over (partition by chrom order by "start", "end") as island from (
   select *, max("end") over (partition by chrom order by "start", "end" rows between unbounded preceding and 1 preceding) as reach from {source})) group by chrom, island"""
 
 
@@ -179,7 +179,7 @@ ORACLE_SQL = {
     "cnv_to_intervals": f"""with {duck('segments')} select pid, chrom, case when log2 < 0 then 'DEL' else 'DUP' end as sv_type, greatest(1, "start" - 500) as start_l, "start" + 500 as end_l, greatest(1, "end" - 500) as start_r, "end" + 500 as end_r from segments where abs(log2) >= 0.2""",
     "window_passes": E + ", p as (select chrom_r, start_r, case when start_r < 100000 then 0 else cast(floor(log2(start_r // 100000)) as bigint) + 1 end as pass_k from evidence) select chrom_r, pass_k, count(*) as n, max(start_r) as last from p group by chrom_r, pass_k",
     "gap_sessions": """with t as (select user_id, cast(floor(epoch(ts)) as bigint) as t from events), o as (select *, case when t - lag(t) over (partition by user_id order by t) > 3600 or lag(t) over (partition by user_id order by t) is null then 1 else 0 end as o from t),
-     s as (select *, cast(sum(o) over (partition by user_id order by t rows between unbounded preceding and current row) as bigint) as session from o) select user_id, session, count(*) as n, max(t) - min(t) as seconds from s group by user_id, session""",
+     s as (select *, cast(sum(o) over (partition by user_id order by t) as bigint) as session from o) select user_id, session, count(*) as n, max(t) - min(t) as seconds from s group by user_id, session""",
     "coverage_by_hour": "select event_type, cast(floor(epoch(ts) / 3600) * 3600 as bigint) as start, count(*) as n from events group by 1, 2",
     "interval_union_types": E + f""", t as (select *, {SPLIT_TYPE} as t, case when strand_l = strand_r then 'INV' when strand_l = '+' then 'DEL' else 'DUP' end as p from evidence),
      u as (select ev_type, p as sv_type, sample from t where ev_type = 'PE' and {SANE} and {ABERRANT} union all select ev_type, t, sample from t where ev_type = 'SR' and {SPLIT_SANE} and t is not null and (t <> 'INV' or query_l <> query_r) union all select ev_type, p, sample from t where ev_type = 'BD')

@@ -23,7 +23,7 @@ def sessions(df: DataFrame, key: str, ts: str, gap_seconds: int) -> DataFrame:
     ordered = Window.partitionBy(key).orderBy("__t")
     timed = df.withColumn("__t", F.unix_timestamp(ts))
     opens = F.coalesce(F.col("__t") - F.lag("__t").over(ordered) > gap_seconds, F.lit(True))
-    marked = timed.withColumn("__o", opens.cast("int")).withColumn("session", F.sum("__o").over(ordered.rowsBetween(Window.unboundedPreceding, 0)).cast("long"))
+    marked = timed.withColumn("__o", opens.cast("int")).withColumn("session", F.sum("__o").over(ordered).cast("long"))
     return marked.groupBy(key, "session").agg(F.count("*").alias("n"), (F.max("__t") - F.min("__t")).alias("seconds"))
 
 
