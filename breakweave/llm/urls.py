@@ -83,9 +83,10 @@ def scores(chars: DataFrame, model: DataFrame, keys: list[str], own: bool, order
     rows = chars
     for k in range(orders):
         part = model.where(F.col("k") == k).select(
-            F.col("cell").alias(f"cell{k}"), "sym", *[F.col(c).alias(f"{c}{k}") for c in ("ok", "bad", "ok_all", "bad_all")]
+            F.col("cell").alias(f"cell{k}"), "sym", F.col("ok").alias(f"ok{k}"), F.col("bad").alias(f"bad{k}")
         )
-        rows = rows.join(F.broadcast(part), [f"cell{k}", "sym"], "left")
+        whole = model.where(F.col("k") == k).groupBy(F.col("cell").alias(f"cell{k}")).agg(F.max("ok_all").alias(f"ok_all{k}"), F.max("bad_all").alias(f"bad_all{k}"))
+        rows = rows.join(F.broadcast(part), [f"cell{k}", "sym"], "left").join(F.broadcast(whole), f"cell{k}", "left")
     logs = []
     for kind, verdict in (("ok", "allow"), ("bad", "block")):
         minus = F.when(F.col("verdict") == verdict, 1).otherwise(0) if own else F.lit(0)
