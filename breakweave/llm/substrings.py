@@ -4,11 +4,11 @@ A gear hash rolls over the bytes of a text (each byte shifts it left by one and
 it are used, so it forgets after 16 bytes). A chunk ends where five of those bits are zero, at least MIN_CHUNK and at most
 MAX_CHUNK bytes after the last end and never within a character. Ends depend on content alone, so an insertion moves the
 chunks around it and leaves the others as they are. Chunks are compared by their 128-bit digests over the whole corpus.
-A chunk is repeated if several documents have it; its first occurrence (smallest doc_id, then row, then place) stays.
+A chunk is repeated if several documents have it; it stays in the one with the smallest doc_id, however often it has it.
 Neighbouring repeated chunks join to spans; spans of at least `min_bytes` count.
 
-Defined results: a null or empty text has no chunks; a null doc_id sorts after all others; rows that repeat both id and
-text are one document and keep or lose the same spans; other columns are not read by spans() and are kept by dedup(). A
+Defined results: a null or empty text has no chunks; a null doc_id sorts after all others; rows that repeat an id, or have
+none, are one document to each other and lose only what documents before them have; other columns are not read by spans() and are kept by dedup(). A
 byte run without any end (one repeated character) is cut every MAX_CHUNK bytes.
 """
 
@@ -93,10 +93,8 @@ def chunks(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 def spans(df: DataFrame, min_bytes: int = MIN_BYTES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(ord, uid, start, stop, first_ord, kept): runs of repeated chunks, in bytes. kept: the run is the first occurrence."""
     found = stage(chunks(df, id_col, text_col))
-    place = F.struct("ord", "uid", "pos")
-    repeated = found.groupBy("hi", "lo").agg(F.min(place).alias("first"), F.max(place).alias("last"))
-    repeated = repeated.where("first.ord <> last.ord or first.uid <> last.uid").select("hi", "lo", "first")
-    met = found.join(repeated, ["hi", "lo"]).select("ord", "uid", "pos", "len", F.col("first.ord").alias("first_ord"), (place == F.col("first")).alias("kept"))
+    repeated = found.groupBy("hi", "lo").agg(F.min("ord").alias("first_ord"), F.max("ord").alias("last_ord")).where("first_ord <> last_ord").drop("last_ord")
+    met = found.join(repeated, ["hi", "lo"]).select("ord", "uid", "pos", "len", "first_ord", (F.col("ord") == F.col("first_ord")).alias("kept"))
     # rows that repeat id and text give the same chunks again
     met = met.groupBy("ord", "uid", "pos").agg(F.min("len").alias("len"), F.min("first_ord").alias("first_ord"), F.min("kept").alias("kept"))
     doc = Window.partitionBy("ord", "uid").orderBy("pos")
