@@ -90,6 +90,21 @@ def test_near_copies_keep_one(spark, nothing):
     assert copies.keep_one(nothing).count() == 0 and copies.keep_one(nothing).columns == nothing.columns
 
 
+def test_copies_apart_from_the_least_member(spark):
+    """Texts of one vocabulary in other orders, each with a near-copy: few are near the least of those that share their words."""
+    rng = random.Random(8)
+    words = [f"word{k:03d}" for k in range(80)]
+    texts = []
+    for _ in range(40):
+        own = rng.sample(words, len(words))
+        texts += [" ".join(own), " ".join([*own[:-1], "another"])]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    sets = [copies.shingles(t.encode()) for t in texts]
+    of = roots(range(len(texts)), [(a, b) for a in range(len(texts)) for b in range(a) if copies.jaccard(sets[a], sets[b]) >= 0.8])
+    assert len(set(of.values())) == 40
+    assert sorted(r["doc_id"] for r in copies.keep_one(df).collect()) == sorted(set(of.values()))
+
+
 def plain_ends(text, low, high):
     table, mask = substrings.GEAR.astype(int), substrings.END_MASK
     ends, last, h = [], 0, 0
