@@ -105,6 +105,33 @@ def test_copies_apart_from_the_least_member(spark):
     assert sorted(r["doc_id"] for r in copies.keep_one(df).collect()) == sorted(set(of.values()))
 
 
+def test_near_copies_of_every_kind_are_found(spark):
+    """A block appended, the tail cut off, the last words changed, in short and long texts; crowded keys or not."""
+    rng = random.Random(12)
+    word = lambda: f"w{rng.randrange(4000)}abc"
+    core, texts = [word() for _ in range(90)], []
+    for n in [25, 30, 40, 60, 100, 200] * 6:
+        own = [word() for _ in range(n)]
+        texts += [own, [*own, *(word() for _ in range(n // 6))], own[: n - n // 7], [*own[:-1], word()]]
+    for _ in range(30):
+        tail = [word() for _ in range(15)]
+        texts += [core + tail, [*core, *tail, word(), word()]]
+    texts = [" ".join(x) for x in texts]
+    sets = [copies.shingles(t.encode()) for t in texts]
+    of = roots(range(len(texts)), [(a, b) for a in range(len(texts)) for b in range(a) if copies.jaccard(sets[a], sets[b]) >= 0.8])
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string")
+    for paired in (2, 10**6):
+        found = {r["least"]: r["grp"] for r in copies.groups(df, paired=paired).collect()}
+        assert sorted(map(len, _parts(found))) == sorted(map(len, _parts(of))) and set(_parts(found)) == set(_parts(of))
+
+
+def _parts(of):
+    parts = defaultdict(set)
+    for member, root in of.items():
+        parts[root].add(member)
+    return [frozenset(x) for x in parts.values()]
+
+
 def plain_ends(text, low, high):
     table, mask = substrings.GEAR.astype(int), substrings.END_MASK
     ends, last, h = [], 0, 0
