@@ -36,6 +36,12 @@ def test_model_knows_what_it_learnt(scored):
     assert learnt.bits_per_byte.mean() < 4
 
 
+def test_every_word_is_predicted_from(docs, scored):
+    """However few words count as common, the word-so-far predictor knows all learning texts."""
+    few = scoring.score(docs, common=1).toPandas()
+    assert sorted(few.score) == pytest.approx(sorted(scored.score), rel=1e-6)
+
+
 def test_scores_of_nothing(nothing, spark):
     assert scoring.score(nothing).count() == 0
     only = next(k for k in range(100) if zlib.crc32(str(k).encode()) % 7 == 2)
