@@ -6,12 +6,16 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows of an Arrow batch that are turned into Python objects at a time.
 SLICE_ROWS = 256
+#: Bytes of texts in them, above which there are fewer rows.
+SLICE_BYTES = 8 << 20
 #: Bytes after which an output batch is handed on.
 FLUSH_BYTES = 8 << 20
 
@@ -54,10 +58,19 @@ def decoded(value: bytes | None) -> str:
     return "" if not value else value.decode("utf-8", "replace")
 
 
-def slices(batches: Iterable[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterable[pa.RecordBatch], rows: int = SLICE_ROWS, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Parts of the batches of at most so many rows, and of about so many bytes in columns of texts; a row is never cut."""
     for batch in batches:
-        for at in range(0, batch.num_rows, rows):
-            yield batch.slice(at, rows)
+        sizes = np.zeros(batch.num_rows, np.int64)
+        for column in batch.columns:
+            if pa.types.is_binary(column.type) or pa.types.is_string(column.type):
+                sizes += pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
+        upto, at = np.cumsum(sizes), 0
+        while at < batch.num_rows:
+            before = upto[at - 1] if at else 0
+            stop = max(at + 1, min(at + rows, int(np.searchsorted(upto, before + most, side="right"))))
+            yield batch.slice(at, stop - at)
+            at = stop
 
 
 class Rows:

@@ -3,66 +3,12 @@
 import math
 import random
 import re
-import zlib
-from collections import Counter, defaultdict
+from collections import defaultdict
 
 import numpy as np
 import pytest
 
-from breakweave.llm import licenses, nearest, quality, scoring, urls
-
-
-@pytest.fixture(scope="module")
-def scored(docs):
-    return scoring.score(docs, common=50).toPandas()
-
-
-def test_base_scores(scored, corpus):
-    words = {repr(i): (t or "").encode().lower().split() + [b" "] for i, t in corpus}
-    out = lambda i: zlib.crc32(("" if i is None else str(i)).encode()) % 7 == 2
-    seen = Counter(w for i, t in corpus if not out(i) for w in words[repr(i)])
-    n, v = sum(seen.values()), len(seen)
-    assert len(scored) == len(corpus)
-    for r in scored.itertuples():
-        i = None if math.isnan(r.doc_id) else int(r.doc_id)
-        own = words[repr(i)]
-        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (out(i), len(own), sum(seen[w] > 0 for w in own), n)
-        assert r.base_score == pytest.approx(sum(math.log10((seen[w] + 1) / (n + v + 1)) for w in own), rel=1e-9)
-        assert r.score < 0
-
-
-def test_model_knows_what_it_learnt(scored):
-    learnt = scored[~scored.held_out & (scored.n_tokens > 20)]
-    assert learnt.bits_per_byte.mean() < 4
-
-
-def test_every_word_is_predicted_from(docs, scored):
-    """However few words count as common, the word-so-far predictor knows all learning texts."""
-    few = scoring.score(docs, common=1).toPandas()
-    assert sorted(few.score) == pytest.approx(sorted(scored.score), rel=1e-6)
-
-
-def test_scores_of_nothing(nothing, spark):
-    assert scoring.score(nothing).count() == 0
-    only = next(k for k in range(100) if zlib.crc32(str(k).encode()) % 7 == 2)
-    row = scoring.score(spark.createDataFrame([(only, "a b")], "doc_id long, text string")).first()
-    assert (row["n_known"], row["train_tokens"]) == (0, 0) and row["base_score"] == 0.0
-
-
-def test_places_and_words():
-    texts = [b"ab cd\n", b"ab\n", b"x ab\n"]
-    keys, words, starts = scoring.places(texts)
-    assert starts.tolist() == [0, 6, 9]
-    assert (keys & np.uint64(255)).astype(np.uint8).tobytes() == b"".join(texts)
-    assert words[1] == words[7] == words[12] and words[0] == words[3] == 0 and words[2] == words[8] and words[1] != words[2]
-
-
-def test_probabilities_add_up():
-    model = scoring.counted([], [b"the", b"then", b"on"], [50, 5, 30])
-    model.learn([b"the on then the", b"on the on"])
-    before = np.uint64(int.from_bytes(b" th", "big") << 8)
-    keys = before | np.arange(256, dtype=np.uint64)
-    assert np.exp2(-model.bits(keys, np.full(256, scoring.places([b"th\n"])[1][2]))).sum() == pytest.approx(1, abs=1e-3)
+from breakweave.llm import licenses, nearest, quality, urls
 
 
 def test_labellers_and_scorer(spark, nothing):
