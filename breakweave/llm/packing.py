@@ -9,7 +9,8 @@ Every worker numbers the pieces of its own bucket within a class; prefix sums ov
 the numbers global, so that at most one bin of a class stays unfilled. The pieces of those unfilled bins, fewer than the
 sum of all m at any size of the input, are packed first-fit decreasing in one task.
 
-Defined results: a null text is empty and has only its end id; a document without any id (no end id asked for, empty text)
+Defined results: a null text is empty and has only its end id; a special token's text in a document has that token's id, as in
+the tokenizer; a document without any id (no end id asked for, empty text)
 has no piece; a null doc_id is carried as null; repeated rows are packed as often as they come; other columns are not read.
 """
 
@@ -69,13 +70,14 @@ class WordIds(dict):
 
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.split = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
         self.plain = regex.compile(r"[!-~\xc0-\xff]+")
         as_byte = {c: bytes([b]) for b, c in _byte_characters().items()}
         suffix, special = spec["model"]["end_of_word_suffix"], {t["content"] for t in spec["added_tokens"]}
+        #: Special tokens are taken out of the raw text, wherever they stand.
+        self.special = regex.compile("(" + "|".join(regex.escape(x) for x in sorted(special, key=len, reverse=True)) + ")") if special else None
         ranks = {}
         for token, rank in spec["model"]["vocab"].items():
             if token not in special:
@@ -87,7 +89,7 @@ class WordIds(dict):
     def __missing__(self, word: str) -> bytes:
         if len(self) > REMEMBERED:
             self.clear()
-        if self.plain.fullmatch(word):
+        if self.plain.fullmatch(word) and not (self.special and self.special.fullmatch(word)):
             found = b"".join([self.parts.get(p) or self._part(p) for p in self.split.findall(word.lower())])
         else:
             found = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
@@ -114,7 +116,11 @@ def word_encoder(path: str, end_id: int | None) -> Callable[[str], np.ndarray]:
     end = b"" if end_id is None else np.array([end_id], "<u4").tobytes()
 
     def encode(text: str) -> np.ndarray:
-        found = [known[w] for w in text.replace("\n", " ").split(" ")]
+        # a special token is a word of its own, which the tokenizer knows
+        pieces = known.special.split(text) if known.special and known.special.search(text) else [text]
+        found = []
+        for k, piece in enumerate(pieces):
+            found += [known[piece]] if k % 2 else [known[w] for w in piece.replace("\n", " ").split(" ")]
         found.append(end)
         return np.frombuffer(b"".join(found), "<u4")
 
@@ -200,4 +206,7 @@ def pack(df: DataFrame, path: str, end_id: int | None = 1, capacity: int = 2048,
     if not with_ids:
         return assign(stage(found.drop("ids")), capacity, smallest)
     found = stage(found)
-    return assign(found, capacity, smallest).join(found.select("doc_id", "start", "ids_crc32", "ids").distinct(), ["doc_id", "start", "ids_crc32"])
+    # a null id equals another
+    key = [F.col("doc_id").eqNullSafe(F.col("__doc_id")), F.col("start") == F.col("__start"), F.col("ids_crc32") == F.col("__crc")]
+    ids = found.select(F.col("doc_id").alias("__doc_id"), F.col("start").alias("__start"), F.col("ids_crc32").alias("__crc"), "ids").distinct()
+    return assign(found, capacity, smallest).join(ids, key).drop("__doc_id", "__start", "__crc")

@@ -45,10 +45,24 @@ def test_windows_split_like_the_whole(text, window, overlap):
 @given(st.text(max_size=40))
 def test_word_ids_match_the_tokenizer(text):
     tokenizer, known = Tokenizer.from_file(WORDS), test_word_ids_match_the_tokenizer.__dict__.setdefault("encode", packing.word_encoder(WORDS, None))
-    tokenizer.encode_special_tokens = True
     assert known(text).tolist() == tokenizer.encode(text, add_special_tokens=False).ids
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.sampled_from(["a", "<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", " ", "\n", "é", "<|", "|>", "b's", "\t"]), max_size=12))
+def test_special_tokens_match_the_tokenizer(parts):
+    text = "".join(parts)
+    known = test_special_tokens_match_the_tokenizer.__dict__.setdefault("encode", packing.word_encoder(WORDS, None))
+    library = test_special_tokens_match_the_tokenizer.__dict__.setdefault("library", Tokenizer.from_file(WORDS))
+    assert known(text).tolist() == library.encode(text, add_special_tokens=False).ids
+
+
+def test_special_tokens_and_null_ids(spark):
+    assert packing.word_encoder(WORDS, 1)("a <|endoftext|> b").tolist() == [320, 49407, 321, 1]
+    df = spark.createDataFrame([(None, "no id"), (3, "an id"), (None, None)], "doc_id long, text string")
+    assert packing.pack(df, WORDS, with_ids=True).count() == 3
+
+
 def test_packing_covers_each_id_once(docs, corpus):
     tokenizer = Tokenizer.from_file(WORDS)
     rows = packing.pack(docs.where("doc_id is not null").dropDuplicates(["doc_id"]), WORDS, capacity=256, smallest=8, with_ids=True).toPandas()
