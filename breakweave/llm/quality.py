@@ -2,8 +2,9 @@
 
 Heuristic labellers vote good, bad or neither on each text, or have nothing to judge. Expectation-maximisation over the
 counts of all vote patterns (at most 4 to the number of labellers, whatever the input) estimates each labeller's accuracy
-for either class and the share of good texts, and so a posterior for each pattern. These posteriors are the labels that train a logistic scorer
-over hashed byte trigrams and hashed style cells. It is trained on a bounded sample: SAMPLE distinct rows, those with the
+for either class and the share of good texts, and so a posterior for each pattern. A belief about labellers (BELIEF, of a
+tenth of the texts' weight) anchors the classes; accuracies are free. The posteriors are the labels that train a logistic
+scorer over hashed byte trigrams and hashed style cells. It is trained on a bounded sample: SAMPLE distinct rows, those with the
 smallest hash of id and text. Every row is scored; a row is kept when its score is at least KEEP.
 
 Defined results: a null or empty text gets no vote; with no text at all nothing is trained and every row scores 0.5 and is
@@ -70,8 +71,10 @@ def measures(text: str) -> np.ndarray:
     return out
 
 
-#: Share of good texts to which a labeller may object; it keeps the classes from drifting apart from the labellers.
-OBJECTIONS = 0.001
+#: What a labeller is believed to do before the data is seen: shares of bad, neutral and good votes on bad and on good texts;
+#: and the weight of that belief, as a share of the texts. It says which class is which and binds no labeller.
+BELIEF = np.array([[0.3, 0.2, 0.5], [0.0, 0.02, 0.98]])
+BELIEF_WEIGHT = 0.1
 #: How the votes -1, 0, 1 and 2 are written in a pattern.
 VOTES = "-0+."
 GOOD, BAD = (np.array([x[k] for x in LABELLERS]) for k in (1, 2))
@@ -94,8 +97,8 @@ def fit_labels(patterns: np.ndarray, counts: np.ndarray, rounds: int = 200) -> t
         weight = np.stack([1 - posterior, posterior]) * counts
         # an imagined text of each class for each vote keeps every share above 0
         shares = np.einsum("cp,pjv->cjv", weight, cast) + 1
+        shares += BELIEF_WEIGHT * weight.sum(axis=1)[:, None, None] * BELIEF[:, None, :]
         shares /= shares.sum(axis=2, keepdims=True)
-        shares[1, :, 0] = np.minimum(shares[1, :, 0], OBJECTIONS)
         prior = float((weight[1].sum() + 1) / (counts.sum() + 2))
         logs = np.einsum("pjv,cjv->cp", cast, np.log(shares))
         posterior = 1 / (1 + np.exp(np.clip(logs[0] + np.log(1 - prior) - logs[1] - np.log(prior), -500, 500)))
@@ -162,7 +165,7 @@ def weak_labels(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
 def classify(df: DataFrame, keep: float = KEEP, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
     """A row for each row of df: doc_id, score (probability of good), kept; or the columns `carry`, __score and __kept."""
     voted, posterior, _ = weak_labels(df, id_col, text_col)
-    least = voted.orderBy("h").limit(sample).agg(F.max("h")).first()[0]
+    least = voted.select("h").distinct().orderBy("h").limit(sample).agg(F.max("h")).first()[0]
     weights = np.zeros(BUCKETS + 1, np.float32)
     if least is not None:
 

@@ -38,6 +38,44 @@ def test_em_finds_accuracies():
     assert ((posterior > 0.5) == truth).mean() > 0.95 and abs(prior - 0.85) < 0.05
 
 
+def test_em_against_a_plain_one():
+    """A loop over single texts, and no labeller's accuracy is pinned: one that is often wrong on good texts is seen to be."""
+    rng = np.random.default_rng(4)
+    truth = rng.random(600) < 0.8
+    wrong = (0.01, 0.02, 0.25)
+    rows = np.stack([np.where(truth, np.where(rng.random(600) < w, -1, 1), np.where(rng.random(600) < 0.8, -1, 1)) for w in wrong], axis=1)
+    patterns, counts = np.unique(rows, axis=0, return_counts=True)
+    shares, posterior, prior = quality.fit_labels(patterns, counts.astype(float), rounds=30)
+    good = [0.1 if -1 in r else 0.95 for r in rows.tolist()]
+    for _ in range(30):
+        own = [[[1.0] * 3 for _ in range(3)] for _ in range(2)]
+        weight = [sum(1 - g for g in good), sum(good)]
+        for r, g in zip(rows.tolist(), good, strict=True):
+            for j, v in enumerate(r):
+                own[0][j][v + 1] += 1 - g
+                own[1][j][v + 1] += g
+        for c in range(2):
+            for j in range(3):
+                own[c][j] = [x + quality.BELIEF_WEIGHT * weight[c] * b for x, b in zip(own[c][j], quality.BELIEF[c].tolist(), strict=True)]
+                own[c][j] = [x / sum(own[c][j]) for x in own[c][j]]
+        share = (weight[1] + 1) / (len(rows) + 2)
+        for k, r in enumerate(rows.tolist()):
+            a = math.prod(own[1][j][v + 1] for j, v in enumerate(r)) * share
+            b = math.prod(own[0][j][v + 1] for j, v in enumerate(r)) * (1 - share)
+            good[k] = a / (a + b)
+    assert prior == pytest.approx(share) and np.allclose(shares, own)
+    by_pattern = {tuple(p): x for p, x in zip(patterns.tolist(), posterior.tolist(), strict=True)}
+    assert [by_pattern[tuple(r)] for r in rows.tolist()] == pytest.approx(good, abs=1e-9)
+    assert shares[1, 2, 0] > 0.1 > shares[1, 0, 0]
+
+
+def test_the_sample_holds_distinct_rows(spark):
+    rows = [(1, "a text that comes again and again and says little")] * 300 + [(k, f"text {k} with some words of its own kind {k}") for k in range(2, 60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert quality.classify(df, sample=50).count() == len(rows)
+    assert quality.classify(spark.createDataFrame([(1, "words " * 300_000)], "doc_id long, text string")).count() == 1
+
+
 RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
 URLS = [
     "http://a.example.net/en/1", "https://EXAMPLE.NET/en/", "http://b.net/x?y#z", "ftp://q.example.com/de/2", "http://example.com/den", "http://sub.org/fr/#x", "http://org/fr/", "no scheme", None, "", "http://", "http://h", "http://h?x/y",
