@@ -30,6 +30,31 @@ def test_encode_and_decode_match_the_library(docs, corpus, library):
     assert got == sorted(((i, library.encode_ordinary(t or ""), (t or "").encode()) for i, t in corpus), key=repr)
 
 
+def test_long_texts_in_windows_match_the_library(spark, library):
+    """Megabytes of prose, one letter without end, digits without end (triples of neighbours are out of step), many scripts."""
+    words = ["the", "don't", "  ", "\n\n", "café", "1234567", "x_y", "漢字", "!!!", "\t", "’s", "we'll"]
+    rng = np.random.default_rng(3)
+    texts = [" ".join(rng.choice(words, 800_000)), "x" * 50_000, "7" * 50_000, "word " * 3000 + "9" * 40_000 + " word" * 9000, "a" * 16_895, "b " * 8_448, "c " * 8_449, None]
+    df = spark.createDataFrame(list(enumerate(texts)) + [(None, texts[3]), (3, texts[3])], "doc_id long, text string")
+    got = sorted(((r["doc_id"], list(r["ids"])) for r in bpe.encode(df, RANKS, P.PATTERN).collect()), key=lambda r: repr(r[0]))
+    want = [(k, library.encode_ordinary(t or "")) for k, t in [*enumerate(texts), (None, texts[3]), (3, texts[3])]]
+    assert len(texts[0]) > 3_000_000 and got == sorted(want, key=lambda r: repr(r[0]))
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text(alphabet="ab1'st \n\té!.", min_size=30, max_size=150), st.integers(6, 14), st.integers(3, 6))
+def test_neighbours_are_stitched_like_the_whole(text, window, overlap):
+    pattern = regex.compile(P.PATTERN)
+    n = -(-(len(text) - overlap) // window)
+    windows = [text[k * window : (k + 1) * window + overlap] for k in range(n)]
+    marks = [bpe.boundaries(w, pattern, window, overlap) for w in windows]
+    stops = [sorted({*a.tolist()} & {*b.tolist()})[:1] for (_, a), (b, _) in zip(marks, marks[1:], strict=False)]
+    if all(stops):
+        starts = [0, *(s[0] for s in stops)]
+        parts = [bpe.between(w, a, window + s[0] if s else None, pattern) for w, a, s in zip(windows, starts, [*stops, None], strict=True)]
+        assert [p for own in parts for p in own] == pattern.findall(text)
+
+
 def test_encode_nothing(nothing):
     assert bpe.decode(bpe.encode(nothing, RANKS, P.PATTERN), RANKS).collect() == []
 
