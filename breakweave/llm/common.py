@@ -38,11 +38,22 @@ def new_path(spark: SparkSession, kind: str) -> str:
     return f"{shared_dir(spark)}/{kind}-{uuid.uuid4().hex}"
 
 
+#: Spark's own setting that drops the shuffle files of a finished query.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def stage(df: DataFrame) -> DataFrame:
-    """Write df to the shared folder and read it back. Later steps start from files that outlive any executor."""
+    """Write df to the shared folder and read it back. Later steps start from files that outlive any executor.
+
+    What was shuffled on the way is of no use any more and goes at once, so that disks hold one step's shuffles and not all.
+    """
     spark = df.sparkSession
-    path = new_path(spark, "staged")
-    df.write.option("compression", "zstd").parquet(path)
+    path, before = new_path(spark, "staged"), spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
