@@ -3,7 +3,8 @@
 The automaton is built over the words of all templates. A text streams through it once and yields matching statistics:
 for each word, the longest run of words ending there that some template holds. Right-maximal runs of at least MIN_RUN
 words are chained, template by template, in the order of the template's own words; what a chain covers of its template
-is the score, and a template covered by at least MIN_COVER gives its label. Short phrases are templates of their own
+is the score, and a template covered by at least MIN_COVER gives its label; a short one must be covered whole, and one whose
+span lies inside that of a longer template with another label gives none. Short phrases are templates of their own
 that must stand whole: one ends wherever the matched run has the phrase as a suffix.
 
 Defined results: a null or empty text has no words, no labels, nulls for first and last word and score 0; a null doc_id is
@@ -23,6 +24,8 @@ from breakweave.llm.common import per_document, text_bytes
 WORDS = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 UPPER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 MIN_RUN, MIN_COVER = 4, 0.6
+#: A template of fewer words than this must stand whole and unbroken: one word more or less makes it another licence.
+SHORT = 12
 #: Words that may stand between two runs of a chain.
 MAX_GAP = 40
 
@@ -47,6 +50,32 @@ TEMPLATES = [
     ("cc-by-sa", "Licensed under CC BY-SA 4.0"),
     ("no-reuse", "No part of this publication may be reproduced or transmitted in any form without permission"),
     ("public-domain", "This is free and unencumbered software released into the public domain"),
+    (
+        "mit",
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction, including without "
+        "limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following "
+        "conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED AS IS, WITHOUT WARRANTY OF ANY KIND, EXPRESS OR "
+        "IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR "
+        "OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
+    ),
+    (
+        "bsd",
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, "
+        "this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other "
+        "materials provided with the distribution. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS AS IS AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF "
+        "MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED.",
+    ),
+    (
+        "isc",
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. "
+        "THE SOFTWARE IS PROVIDED AS IS AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS.",
+    ),
+    (
+        "apache",
+        "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless "
+        "required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for "
+        "the specific language governing permissions and limitations under the License.",
+    ),
 ]
 
 
@@ -170,9 +199,17 @@ class Scanner:
                 alive = [a for a in alive if not (a[1] >= stop and a[2] <= covered)] + [(end, stop, covered, first)]
                 if covered > best[0]:
                     best = (covered, first, end)
-            found.append((self.labels[t], best[1], best[2], best[0] / len(self.texts[t])))
+            size = len(self.texts[t])
+            if size >= SHORT or (best[0] == size and best[2] - best[1] == size):
+                found.append((self.labels[t], best[1], best[2], best[0] / size))
         return found
 
+    def covered(self, runs: list[tuple[int, int, int]]) -> list[tuple[str, int, int, float]]:
+        """Of chains() those that cover enough, without any that lies inside a longer one of another label."""
+        chains = [c for c in self.chains(runs) if c[3] >= MIN_COVER]
+        inside = lambda c, d: d[1] <= c[1] and c[2] <= d[2] and d[2] - d[1] > c[2] - c[1] and d[0] != c[0]
+        return [c for c in chains if not any(inside(c, d) for d in chains)]
+
 
 def scan(df: DataFrame, phrases: dict[str, str] | None = None, templates: list[tuple[str, str]] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row for each row of df: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, spans."""
@@ -187,7 +224,7 @@ def scan(df: DataFrame, phrases: dict[str, str] | None = None, templates: list[t
             words = words_of(text)
             places, runs = scanner.scan(words)
             base = sorted({scanner.phrases[k][0] for k, _ in places})
-            chains = [c for c in scanner.chains(runs) if c[3] >= MIN_COVER]
+            chains = scanner.covered(runs)
             starts = [at for _, at in places]
             score = max([1.0 * bool(places), *(c[3] for c in chains)], default=0.0)
             labels = sorted({*base, *(c[0] for c in chains)})

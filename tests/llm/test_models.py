@@ -169,6 +169,66 @@ def test_matching_statistics():
     assert [(n, end - 1) for _, n, end in scanner.scan(words)[1]] == [(longest[at], at) for at in ends]
 
 
+def plain_labels(words, templates):
+    """Every run that a template shares with the text, found by comparing all places, chained by trying all pairs."""
+    found = []
+    for label, template in templates:
+        # right-maximal runs: the longest run of any template that ends at a word, unless it goes on
+        runs = set()
+        for end in range(1, len(words) + 1):
+            size = max((n for n in range(end + 1) if any(_has(t, words[end - n : end]) for _, t in templates)), default=0)
+            more = end < len(words) and any(_has(t, words[end - size : end + 1]) for _, t in templates)
+            if size >= licenses.MIN_RUN and not more:
+                runs |= {(end, size, at + size) for at in range(len(template) - size + 1) if template[at : at + size] == words[end - size : end]}
+        best, chains = (0, 0, 0), []
+        for end, run, stop in sorted(runs):
+            own = (run, end - run)
+            for text_end, template_end, before, start in chains:
+                fresh = min(run, end - text_end, stop - template_end)
+                if end - run - text_end <= licenses.MAX_GAP and fresh > 0 and text_end <= end:
+                    own = max(own, (before + fresh, start), key=lambda x: (x[0], -x[1]))
+            chains.append((end, stop, *own))
+            if own[0] > best[0]:
+                best = (*own, end)
+        size = len(template)
+        if best[0] and (size >= licenses.SHORT or best[0] == size == best[2] - best[1]) and best[0] / size >= licenses.MIN_COVER:
+            found.append((label, best[1], best[2], best[0] / size))
+    return [c for c in found if not any(d[1] <= c[1] and c[2] <= d[2] and d[2] - d[1] > c[2] - c[1] and d[0] != c[0] for d in found)]
+
+
+def _has(template, run):
+    return any(template[k : k + len(run)] == run for k in range(len(template) - len(run) + 1))
+
+
+def test_labels_and_scores_against_plain_chains():
+    rng = random.Random(11)
+    templates = [(f"t{k}", [f"w{rng.randrange(60)}" for _ in range(n)]) for k, n in enumerate((6, 14, 20, 30, 30))]
+    templates.append(("longer", [*templates[1][1], *(f"v{k}" for k in range(16))]))
+    scanner = licenses.Scanner({}, [(label, " ".join(t)) for label, t in templates])
+    for _ in range(60):
+        words = []
+        for _ in range(rng.randint(1, 4)):
+            own = list(rng.choice(templates)[1])
+            for _ in range(rng.choice([0, 0, 1, 2, 4])):
+                own[rng.randrange(len(own))] = "other"
+            words += [*own[rng.choice([0, 0, 3]) :], *(f"x{rng.randrange(9)}" for _ in range(rng.choice([0, 5, 60])))]
+        got = sorted(scanner.covered(scanner.scan(words)[1]))
+        assert got == sorted(plain_labels(words, templates))
+
+
+def test_other_licences_get_no_label(spark):
+    texts = {
+        "Licensed under CC BY-ND 4.0": "cc-by",
+        "Licensed under CC BY 4.0.": "cc-by,cc-by-notice",
+        "Licensed under CC BY-NC 4.0": "cc-by,cc-by-nc",
+        "licensed under the GNU Lesser General Public License, version 3": "gpl,lgpl-notice",
+        "x " + licenses.TEMPLATES[16][1] + " y": "mit",
+        licenses.TEMPLATES[19][1]: "apache",
+    }
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert [r["labels"] for r in licenses.scan(df).orderBy("doc_id").collect()] == list(texts.values())
+
+
 def test_templates_are_found_with_changes():
     scanner = licenses.Scanner(licenses.PHRASES, licenses.TEMPLATES)
     text = "Permission is hereby granted, free of charge, to any cat obtaining a copy of this software and associated documentation files, the software, to deal in the software without restriction"
