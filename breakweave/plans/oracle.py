@@ -70,7 +70,7 @@ _AT_R = f"(t = 'DEL' or (t = 'INV' and {INWARD}))"
 POSITIONS = f"pos as (select {G}, cast(sum(end_l) // count(*) as bigint) as pos_l, cast(sum(start_r) // count(*) as bigint) as pos_r, min(begin_l) as begin_l, max(finish_l) as finish_l, count(*) filter (where ev_type = 'PE') as PE, count(*) filter (where ev_type = 'SR') as SR, count(*) filter (where ev_type = 'BD') as BD from members group by {G})"
 REPORTED = "case when chrom_l <> chrom_r then 'BND' when sv_type in ('DEL', 'DUP') then sv_type when strands like '%++%' and strands like '%--%' then 'INV' else 'BND' end"
 SV_LEN = "case reported when 'DEL' then pos_l - pos_r when 'BND' then 0 else pos_r - pos_l end"
-SAMPLE_CURVES = f"""{ISLANDS}, few as (select * from members where k2 <= 2),
+SAMPLE_CURVES = f"""{ISLANDS}, few as (select * from members),
 each as (select {G}, {K}, 'l' as side, begin_l as b, unnest(range(begin_l, finish_l + 1)) as pos from few union all select {G}, {K}, 'r', begin_r, unnest(range(begin_r, finish_r + 1)) from few),
 ps as (select {G}, {K}, side, pos, exp(-{_RATE} * abs(pos - b - 20)) as p from each),
 total as (select {G}, side, pos, sum(p) as p from ps group by {G}, side, pos)"""
@@ -99,7 +99,7 @@ ORACLE_SQL = {
     "pair_sanity_filter": E + f"select {K}, mapq, end_l, start_r from evidence where {SANE}",
     "pair_aberrant_filter": E + f"select {K}, strand_l, strand_r, {SPAN} as span from evidence where {ABERRANT}",
     "source_routing": """with rec as (select l_suppkey % 7 as file, case when l_linenumber <= 3 then 'g' || l_linenumber else 'g9' end as grp from lineitem),
-     src as (select s_suppkey % 6 as file, case when s_suppkey % 4 = 0 then '' else 'g' || (s_suppkey % 4) end as grp, max(s_suppkey) as ev_id from supplier where s_suppkey <= 20 group by 1, 2)
+     src as (select s_suppkey % 6 as file, case when s_suppkey % 4 = 0 then '' else 'g' || (s_suppkey % 4) end as grp, max(s_suppkey) as ev_id from supplier group by 1, 2)
      select rec.file, rec.grp, coalesce(e.ev_id, w.ev_id) as ev_id, count(*) as n from rec left join src e on rec.file = e.file and rec.grp = e.grp left join src w on rec.file = w.file and w.grp = ''
      where coalesce(e.ev_id, w.ev_id) is not null group by 1, 2, 3""",
     "mate_pairing_toggle": E + f""", n as (select k1, k2, k3, row_number() over (partition by k1 order by {K}, start_l) - 1 as rn from evidence)

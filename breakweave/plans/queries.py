@@ -45,7 +45,7 @@ def pair_aberrant_filter(spark, sf_dir):
 
 def source_routing(spark, sf_dir):
     records = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("k1"), (F.col("l_suppkey") % 7).alias("file"), F.when(F.col("l_linenumber") <= 3, F.concat(F.lit("g"), F.col("l_linenumber").cast("string"))).otherwise("g9").alias("grp"))
-    sources = table(spark, sf_dir, "supplier").where("s_suppkey <= 20").select((F.col("s_suppkey") % 6).alias("file"), F.when(F.col("s_suppkey") % 4 == 0, "").otherwise(F.concat(F.lit("g"), (F.col("s_suppkey") % 4).cast("string"))).alias("grp"), F.col("s_suppkey").alias("seq"), F.col("s_suppkey").alias("ev_id"))
+    sources = table(spark, sf_dir, "supplier").select((F.col("s_suppkey") % 6).alias("file"), F.when(F.col("s_suppkey") % 4 == 0, "").otherwise(F.concat(F.lit("g"), (F.col("s_suppkey") % 4).cast("string"))).alias("grp"), F.col("s_suppkey").alias("seq"), F.col("s_suppkey").alias("ev_id"))
     return pairing.routed(records, sources).groupBy("file", "grp", "ev_id").agg(F.count("*").alias("n"))
 
 
@@ -325,7 +325,7 @@ def site_dedup(spark, sf_dir):
 
 def _samples(spark, sf_dir) -> DataFrame:
     rows = windows(view(spark, sf_dir, "evidence"), 30).select("sv_type", "chrom_l", "chrom_r", F.col("begin_l").alias("start_l"), F.col("finish_l").alias("end_l"), F.col("begin_r").alias("start_r"), F.col("finish_r").alias("end_r"), *ORDER)
-    return merge.sets(rows.where("k2 = 1"), ORDER)
+    return merge.sets(rows, ORDER)
 
 
 def cross_sample_sets(spark, sf_dir):
@@ -333,7 +333,7 @@ def cross_sample_sets(spark, sf_dir):
 
 
 def _sample_curves(spark, sf_dir) -> DataFrame:
-    rows = members(spark, sf_dir).where("k2 <= 2")
+    rows = members(spark, sf_dir)
     at = curves.positions(rows, [*KEYS, *ORDER], [])
     return at.withColumn("p", F.exp(curves.two_sided(F.col("begin"), F.col("pos"), F.col("clip"), 20)))
 
