@@ -25,11 +25,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir; where it is unset, one in the warehouse.
+
+    A temporary folder of this machine serves where all executors run in the driver's process.
+    """
     sc = spark.sparkContext
     path = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not path:
-        path = "file://" + tempfile.mkdtemp(prefix="breakweave-")
+        one_process = sc.master.startswith("local") and not sc.master.startswith("local-cluster")
+        path = "file://" + tempfile.mkdtemp(prefix="breakweave-") if one_process else f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_staged"
         sc.setCheckpointDir(path)
     return path.rstrip("/")
 
