@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -46,13 +47,32 @@ def new_path(spark: SparkSession, kind: str) -> str:
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def stage(df: DataFrame) -> DataFrame:
+#: Folders staged since each scratch() that is open began.
+_scratches: list[list[str]] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """What is staged inside goes when this ends, but for what is staged as lasting."""
+    _scratches.append([])
+    try:
+        yield
+    finally:
+        sc = spark.sparkContext
+        for name in _scratches.pop():
+            path = sc._jvm.org.apache.hadoop.fs.Path(name)
+            path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def stage(df: DataFrame, lasting: bool = False) -> DataFrame:
     """Write df to the shared folder and read it back. Later steps start from files that outlive any executor.
 
     What was shuffled on the way is of no use any more and goes at once, so that disks hold one step's shuffles and not all.
     """
     spark = df.sparkSession
     path, before = new_path(spark, "staged"), spark.conf.get(CLEANUP, None)
+    for own in _scratches[-1 - lasting : len(_scratches) - lasting]:
+        own.append(path)
     spark.conf.set(CLEANUP, "true")
     try:
         df.write.option("compression", "zstd").parquet(path)

@@ -5,17 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from breakweave.llm.common import stage
+from breakweave.llm.common import scratch, stage
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    return both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
-    """edges with u > v."""
+    """edges with u > v, which may come more than once."""
     least = edges.groupBy("u").agg(F.min("v").alias("m"))
     lower = edges.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return lower.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
@@ -26,6 +26,11 @@ def components(edges: DataFrame) -> DataFrame:
 
     Nodes are of any ordered type. Edges from a node to itself are ignored, nulls are dropped.
     """
+    with scratch(edges.sparkSession):
+        return stage(_components(edges), lasting=True)
+
+
+def _components(edges: DataFrame) -> DataFrame:
     edges = stage(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     before = None
     while True:

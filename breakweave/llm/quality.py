@@ -179,7 +179,10 @@ def classify(df: DataFrame, keep: float = KEEP, sample: int = SAMPLE, id_col: st
         rows = chosen.dropDuplicates(["h"]).join(labels, "h").orderBy("h").collect()
         y = np.array([posterior[r["pattern"]] for r in rows])
         if len(rows):
-            weights = train(np.stack([np.frombuffer(r["x"], "<f2").astype(np.float32) for r in rows]), y)
+            x = np.stack([np.frombuffer(r["x"], "<f2") for r in rows]).astype(np.float32)
+            del rows
+            weights = train(x, y)
+            del x
     passed = [F.col(id_col).cast("long").alias("doc_id")] if carry is None else [F.col(c) for c in carry]
     mark = "" if carry is None else "__"
     schema = df.select(*passed, F.lit(0.0).alias(f"{mark}score"), F.lit(True).alias(f"{mark}kept")).schema
