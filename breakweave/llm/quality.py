@@ -127,8 +127,7 @@ def features(text: str, buckets: int = BUCKETS) -> np.ndarray:
 
 
 def train(x: np.ndarray, y: np.ndarray, rounds: int = 400, rate: float = 20.0, decay: float = 1e-4) -> np.ndarray:
-    """Weights of a logistic scorer, the last for the constant, by full gradient steps; classes weigh alike."""
-    x = np.concatenate([x, np.ones((len(x), 1), np.float32)], axis=1)
+    """Weights of a logistic scorer by full gradient steps; classes weigh alike. The last column of x is the constant."""
     share = np.array([(1 - y).sum(), y.sum()]).clip(1)
     weight = (y / share[1] + (1 - y) / share[0]) / 2
     w = np.zeros(x.shape[1], np.float32)
@@ -176,13 +175,15 @@ def classify(df: DataFrame, keep: float = KEEP, sample: int = SAMPLE, id_col: st
 
         chosen = _keyed(df, id_col, text_col).where(F.col("h") <= least).mapInArrow(sampled, "h long, x binary")
         labels = voted.where(F.col("h") <= least).groupBy("h").agg(F.min("pattern").alias("pattern"))
-        rows = chosen.dropDuplicates(["h"]).join(labels, "h").orderBy("h").collect()
-        y = np.array([posterior[r["pattern"]] for r in rows])
-        if len(rows):
-            x = np.stack([np.frombuffer(r["x"], "<f2") for r in rows]).astype(np.float32)
-            del rows
-            weights = train(x, y)
-            del x
+        rows = chosen.dropDuplicates(["h"]).join(labels, "h").orderBy("h")
+        # one array on the driver, filled row by row; its last column is the constant
+        x, y = np.ones((sample, BUCKETS + 1), np.float32), []
+        for r in rows.coalesce(4).toLocalIterator():
+            x[len(y), :-1] = np.frombuffer(r["x"], "<f2")
+            y.append(posterior[r["pattern"]])
+        if y:
+            weights = train(x[: len(y)], np.array(y))
+        del x
     passed = [F.col(id_col).cast("long").alias("doc_id")] if carry is None else [F.col(c) for c in carry]
     mark = "" if carry is None else "__"
     schema = df.select(*passed, F.lit(0.0).alias(f"{mark}score"), F.lit(True).alias(f"{mark}kept")).schema
