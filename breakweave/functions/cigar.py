@@ -44,16 +44,17 @@ def query_offsets(ops: Column, reverse: Column) -> Column:
     )
 
 
-def offsets(ops: Column, pos: Column, reverse: Column) -> Column:
-    """struct<ra, qa, sclip, eclip, sqo, eqo>: aligned lengths on reference and read, clips and offsets in read direction."""
-    clip = lambda x: x["op"].isin("S", "H")
-    lead = F.when(clip(F.element_at(ops, 1)), F.element_at(ops, 1)["len"]).otherwise(0).cast("long")
-    tail = F.when((F.size(ops) > 1) & clip(F.element_at(ops, -1)), F.element_at(ops, -1)["len"]).otherwise(0).cast("long")
-    aligned = total(ops, "MI=X")
-    first = F.when(reverse, tail).otherwise(lead)
-    return F.struct(
-        total(ops, "MDN=X").alias("ra"), aligned.alias("qa"), lead.alias("sclip"), tail.alias("eclip"), first.alias("sqo"), (first + aligned - 1).alias("eqo"), pos.alias("rapos")
-    )
+def text_total(cigar: Column, kinds: str) -> Column:
+    """total() straight from the string: one pattern, and a fold over the lengths it finds."""
+    lens = F.regexp_extract_all(cigar, F.lit(rf"(\d+)[{kinds}]"), F.lit(1))
+    return F.aggregate(lens, F.lit(0).cast("long"), lambda a, x: a + x.cast("long"))
+
+
+def offsets(cigar: Column, reverse: Column) -> dict[str, Column]:
+    """ra, qa, sclip, eclip, sqo: aligned lengths on reference and read, clips, and the offset in read direction, of a string."""
+    clip = lambda pattern: F.coalesce(F.nullif(F.regexp_extract(cigar, pattern, 1), F.lit("")).cast("long"), F.lit(0).cast("long"))
+    lead, tail = clip(r"^(\d+)[SH]"), clip(r"[MIDNSHP=X](\d+)[SH]$")
+    return {"ra": text_total(cigar, "MDN=X"), "qa": text_total(cigar, "MI=X"), "sclip": lead, "eclip": tail, "sqo": F.when(reverse, tail).otherwise(lead)}
 
 
 def leading_clips(ops: Column) -> Column:

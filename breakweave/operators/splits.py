@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from breakweave.functions import cigar
@@ -25,23 +25,33 @@ def supplementary(sa: str = "sa") -> tuple:
     return parts[0], parts[1].cast("long"), parts[2], parts[3], F.size(F.filter(F.split(F.col(sa), ";"), lambda x: x != ""))
 
 
+def _once(**columns: Column) -> Column:
+    """These columns as one generated row: the optimizer does not merge an expression into what is built on it."""
+    return F.inline(F.array(F.struct(*[c.alias(name) for name, c in columns.items()])))
+
+
 def split_reads(df: DataFrame, min_non_overlap: int = 20, min_indel: int = 50, max_desert: int = 50) -> DataFrame:
     """Records (rname, pos 0-based, flag, cigar, sa) with exactly one supplementary place and enough of the read on each side;
     on one chromosome and strand the two must also lie at least min_indel off one diagonal, with little unaligned between."""
     rname, pos, strand, other, entries = supplementary()
-    own = cigar.offsets(cigar.parse(F.col("cigar")), F.col("pos"), has(F.col("flag"), "reverse"))
-    mate = cigar.offsets(cigar.parse(F.col("__cigar")), F.col("__pos"), F.col("__strand") == "-")
-    one = df.withColumns({"__n": entries, "__rname": rname, "__pos": pos - 1, "__strand": strand, "__cigar": other}).where("__n = 1")
-    # a generator keeps the CIGAR folds from being worked out again in every expression below
-    both = one.select("*", F.inline(F.array(F.struct(own.alias("__a"), mate.alias("__b"), has(F.col("flag"), "reverse").alias("__minus")))))
-    first = F.col("__a.sqo") <= F.col("__b.sqo")
-    both = both.withColumns({"__l": F.when(first, F.col("__a")).otherwise(F.col("__b")), "__r": F.when(first, F.col("__b")).otherwise(F.col("__a"))})
-    overlap = F.greatest(F.lit(0), 1 + F.least("__l.eqo", "__r.eqo") - F.greatest("__l.sqo", "__r.sqo"))
-    mno = F.least(F.col("__l.eqo") - F.col("__l.sqo"), F.col("__r.eqo") - F.col("__r.sqo")) + 1 - overlap
-    tail = lambda s: F.col(f"{s}.rapos") + F.col(f"{s}.ra") - (F.col(f"{s}.sclip") + F.col(f"{s}.qa"))
-    head = lambda s: F.col(f"{s}.rapos") - F.col(f"{s}.sclip")
+    one = df.where(entries == 1).withColumns({"__rname": rname, "__pos": pos - 1, "__strand": strand})
+    # a generator keeps the folds over both CIGARs from being worked out again in every expression below
+    minus = has(F.col("flag"), "reverse")
+    own, mate = cigar.offsets(F.col("cigar"), minus), cigar.offsets(other, F.col("__strand") == "-")
+    found = {f"__a_{k}": c for k, c in own.items()} | {f"__b_{k}": c for k, c in mate.items()}
+    both = one.select("*", _once(__minus=minus, __a_pos=F.col("pos"), __b_pos=F.col("__pos"), **found))
+    eqo = lambda s: F.col(f"__{s}_sqo") + F.col(f"__{s}_qa") - 1
+    both = both.withColumns({"__a_eqo": eqo("a"), "__b_eqo": eqo("b")})
+    first = F.col("__a_sqo") <= F.col("__b_sqo")
+    # __l_ is the part that comes first in the read, __r_ the other
+    swap = lambda k, one, two: F.when(first, F.col(f"__{one}_{k}")).otherwise(F.col(f"__{two}_{k}"))
+    both = both.withColumns({f"__{side}_{k}": swap(k, *order) for side, order in (("l", "ab"), ("r", "ba")) for k in ("sqo", "eqo", "pos", "ra", "sclip", "qa")})
+    overlap = F.greatest(F.lit(0), 1 + F.least("__l_eqo", "__r_eqo") - F.greatest("__l_sqo", "__r_sqo"))
+    mno = F.least(F.col("__l_eqo") - F.col("__l_sqo"), F.col("__r_eqo") - F.col("__r_sqo")) + 1 - overlap
+    tail = lambda s: F.col(f"{s}_pos") + F.col(f"{s}_ra") - (F.col(f"{s}_sclip") + F.col(f"{s}_qa"))
+    head = lambda s: F.col(f"{s}_pos") - F.col(f"{s}_sclip")
     ins = F.when(F.col("__minus"), tail("__r") - head("__l")).otherwise(tail("__l") - head("__r"))
-    desert = F.col("__r.sqo") - F.col("__l.eqo") - 1
+    desert = F.col("__r_sqo") - F.col("__l_eqo") - 1
     same = (F.col("rname") == F.col("__rname")) & (F.col("__minus") == (F.col("__strand") == "-"))
     odd = (F.abs(ins) >= min_indel) & ~((desert > 0) & (desert - F.greatest(F.lit(0), ins) > max_desert))
     kept = both.withColumns({"mno": mno, "ins": ins, "desert": desert}).where((F.col("mno") >= min_non_overlap) & (~same | odd))
