@@ -13,7 +13,11 @@ SKIPPED = r"^(#|track|browser)"
 
 def lines(spark: SparkSession, path: str) -> DataFrame:
     """(line, file, fields) of the lines that are no comments."""
-    rows = spark.read.text(path).select(F.col("value").alias("line"), F.input_file_name().alias("file"))
+    return fielded(spark.read.text(path).select(F.col("value").alias("line"), F.input_file_name().alias("file")))
+
+
+def fielded(rows: DataFrame) -> DataFrame:
+    """rows (line, ...) that are no comments, with their `fields`."""
     return rows.where(~F.col("line").rlike(SKIPPED) & (F.trim("line") != "")).withColumn("fields", F.split("line", "\t"))
 
 
@@ -22,12 +26,17 @@ def field(k: int, kind: str = "string") -> Column:
 
 
 def sam(spark: SparkSession, path: str) -> DataFrame:
-    """Alignments, positions 0-based, tags as a map."""
-    rows = spark.read.text(path).select(F.col("value").alias("line"), F.input_file_name().alias("source")).where(~F.col("line").startswith("@")).withColumn("fields", F.split("line", "\t"))
+    return sam_rows(spark.read.text(path).select(F.col("value").alias("line"), F.input_file_name().alias("source")))
+
+
+def sam_rows(text: DataFrame) -> DataFrame:
+    """Alignments of (line, source), positions 0-based; tags as a map, and their types as another."""
+    rows = text.where(~F.col("line").startswith("@")).withColumn("fields", F.split("line", "\t"))
+    kinds = F.map_from_entries(F.transform(F.slice("fields", 12, 10_000), lambda t: F.struct(F.substring(t, 1, 2), F.substring(t, 4, 1))))
     tags = F.map_from_entries(F.transform(F.slice("fields", 12, 10_000), lambda t: F.struct(F.substring(t, 1, 2), F.substring(t, 6, 1 << 30))))
     return rows.select(
         field(0).alias("qname"), field(1, "int").alias("flag"), field(2).alias("rname"), (field(3, "long") - 1).alias("pos"), field(4, "int").alias("mapq"), field(5).alias("cigar"),
-        F.when(field(6) == "=", field(2)).otherwise(field(6)).alias("mate_rname"), (field(7, "long") - 1).alias("mate_pos"), field(8, "long").alias("isize"), field(9).alias("seq"), field(10).alias("qual"), tags.alias("tags"), "source",
+        F.when(field(6) == "=", field(2)).otherwise(field(6)).alias("mate_rname"), (field(7, "long") - 1).alias("mate_pos"), field(8, "long").alias("isize"), field(9).alias("seq"), field(10).alias("qual"), tags.alias("tags"), kinds.alias("tag_types"), "source",
     )
 
 
@@ -39,8 +48,13 @@ def sam_header(spark: SparkSession, path: str) -> DataFrame:
 
 
 def bed(spark: SparkSession, path: str) -> DataFrame:
-    """Intervals of BED, VCF or GFF, told apart line by line; half-open, a zero-length one widened by a base on either side."""
-    rows = lines(spark, path).withColumn("n", F.size("fields"))
+    return bed_rows(lines(spark, path))
+
+
+def bed_rows(text: DataFrame) -> DataFrame:
+    """Intervals of fielded BED, VCF or GFF lines, told apart line by line; half-open, a zero-length one widened by a base
+    on either side (not beyond 0; `zero_length` tells, and the writer takes the place from the end)."""
+    rows = text.withColumn("n", F.size("fields"))
     number = lambda k: F.get("fields", F.lit(k)).rlike(r"^\d+$")
     is_bed, is_gff = (F.col("n") >= 3) & number(1) & number(2), (F.col("n") >= 8) & number(3) & number(4)
     kind = F.when(is_bed, "bed").when(is_gff, "gff").when((F.col("n") >= 8) & number(1), "vcf")
@@ -55,7 +69,11 @@ def bed(spark: SparkSession, path: str) -> DataFrame:
 
 
 def bedpe(spark: SparkSession, path: str) -> DataFrame:
-    return lines(spark, path).where(F.size("fields") >= 6).select(
+    return bedpe_rows(lines(spark, path))
+
+
+def bedpe_rows(text: DataFrame) -> DataFrame:
+    return text.where(F.size("fields") >= 6).select(
         field(0).alias("chrom_l"), field(1, "long").alias("start_l"), field(2, "long").alias("end_l"), field(3).alias("chrom_r"), field(4, "long").alias("start_r"), field(5, "long").alias("end_r"),
         field(6).alias("name"), field(7).alias("score"), field(8).alias("strand_l"), field(9).alias("strand_r"), F.slice("fields", 11, 10_000).alias("extra"),
     )
@@ -75,8 +93,14 @@ def with_type(df: DataFrame) -> DataFrame:
 
 
 def vcf(spark: SparkSession, path: str, sample_names: bool = False) -> DataFrame:
+    """Records of VCF files; with sample_names, `sname` is the file's name."""
+    found = vcf_rows(lines(spark, path))
+    return found.withColumn("sname", F.regexp_extract("file", r"([^/]+)$", 1)) if sample_names else found
+
+
+def vcf_rows(text: DataFrame) -> DataFrame:
     """Records without secondary lines; INFO as a map; breakends on one chromosome with equal strands become inversions."""
-    rows = lines(spark, path).where(F.size("fields") >= 8)
+    rows = text.where(F.size("fields") >= 8)
     info = F.str_to_map(field(7), F.lit(";"), F.lit("="))
     found = rows.select(
         field(0).alias("chrom"), field(1, "long").alias("pos"), field(2).alias("id"), field(3).alias("ref"), field(4).alias("alt"), field(5).alias("qual"), field(6).alias("filter"), info.alias("info"),
@@ -85,8 +109,7 @@ def vcf(spark: SparkSession, path: str, sample_names: bool = False) -> DataFrame
     mate = F.regexp_extract("alt", r"[\[\]]([^\[\]:]+):(\d+)[\[\]]", 1)
     strands = F.substring(F.col("info")["STRANDS"], 1, 2)
     inverted = (F.col("info")["SVTYPE"] == "BND") & (mate == F.col("chrom")) & strands.isin("++", "--")
-    found = found.withColumn("sv_type", F.when(inverted, "INV").otherwise(F.col("info")["SVTYPE"]))
-    return found.withColumn("sname", F.regexp_extract("file", r"([^/]+)$", 1)) if sample_names else found
+    return found.withColumn("sv_type", F.when(inverted, "INV").otherwise(F.col("info")["SVTYPE"]))
 
 
 def vcf_header(spark: SparkSession, path: str) -> DataFrame:
@@ -135,12 +158,23 @@ def segments(spark: SparkSession, path: str) -> DataFrame:
 
 def fasta(spark: SparkSession, path: str) -> DataFrame:
     """(name, description, seq) of each record."""
-    rows = spark.read.option("lineSep", ">").text(path).where(F.trim("value") != "")
+    # a record begins with > at the start of a line; one inside a header is part of the header
+    rows = spark.read.option("lineSep", "\n>").text(path).select(F.regexp_replace("value", r"^\s*>", "").alias("value")).where(F.trim("value") != "")
     head = F.substring_index("value", "\n", 1)
     seq = F.regexp_replace(F.expr("substring(value, locate('\n', value) + 1)"), r"\s", "")
     return rows.select(F.split(head, r"\s+")[0].alias("name"), head.alias("description"), seq.alias("seq"))
 
 
+def lengths(df: DataFrame) -> DataFrame:
+    """(name, length) of sequences."""
+    return df.select("name", F.length("seq").cast("long").alias("length"))
+
+
+def starting_with(df: DataFrame, prefix: str) -> DataFrame:
+    """The first sequence by name among those whose description begins with a prefix."""
+    return df.where(F.col("description").startswith(prefix)).orderBy("description").limit(1)
+
+
 def sub_sequence(df: DataFrame, start: int, size: int) -> DataFrame:
     return df.select("name", F.substring("seq", start + 1, size).alias("seq"))
 

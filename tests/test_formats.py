@@ -45,6 +45,48 @@ def test_calls_out_and_in(spark, tmp_path):
     assert readers.vcf_header(spark, path).first()["value"] == "##fileformat=VCFv4.2"
 
 
+def test_zero_length_intervals_come_back(spark, tmp_path):
+    path = put(tmp_path, "z.bed", "c1\t0\t0\tn\t1\t+\nc1\t7\t7\tm\t1\t+\nc1\t3\t9\to\t1\t-\n")
+    assert [r["line"] for r in writers.bed_lines(readers.bed(spark, path)).collect()] == ["c1\t0\t0\tn\t1\t+", "c1\t7\t7\tm\t1\t+", "c1\t3\t9\to\t1\t-"]
+
+
+def test_alignments_keep_their_tags(spark, tmp_path):
+    line = "r1\t99\tc1\t11\t60\t5M\tc2\t50\t44\tACGTA\tIIIII\tRG:Z:g1\tNM:i:0\tSA:Z:c1,5,+,5M,60,0;"
+    path = put(tmp_path, "t.sam", line + "\nr2\t4\t*\t0\t0\t*\t*\t0\t0\tA\tI\n")
+    rows = readers.sam(spark, path)
+    assert [r["line"] for r in writers.sam_lines(rows).collect()] == [line, "r2\t4\t*\t0\t0\t*\t*\t0\t0\tA\tI"]
+    assert "\t*\t*\tRG:Z:g1" in writers.sam_lines(rows, bases=False).first()["line"]
+
+
+def test_records_have_a_column_for_each_sample(spark, tmp_path):
+    calls = spark.createDataFrame(
+        [
+            (1, "c1", 100, "c1", 500, "BND", "++:1,--:3", 4, 3, [-5, 6], [-7, 8], [-1, 0], [0, 0], {"A": (3, 3)}),
+            (2, "c1", 90, "c1", 95, "DUP", "-+:2", 2, 2, [0, 0], [0, 1], [0, 0], [0, 0], {"A": (1, 1), "B": (1, 1)}),
+        ],
+        "call_id long, chrom_l string, pos_l long, chrom_r string, pos_r long, reported string, strands string, SU long, PE long, cipos array<long>,"
+        " ciend array<long>, cipos95 array<long>, ciend95 array<long>, support map<string, struct<SU long, PE long>>",
+    ).withColumn("sv_len", F.lit(5).cast("long"))
+    lines = [r["line"].split("\t") for r in writers.vcf_lines(calls, ["A", "B"], ["PE"]).orderBy("call_id", "part").collect()]
+    # -- decides on the positions, ++ on the shape of the ALT
+    assert [(x[0], x[1], x[4]) for x in lines] == [("c1", "101", "N]c1:501]"), ("c1", "501", "N]c1:101]"), ("c1", "90", "<DUP>")]
+    assert lines[0][7] == "SVTYPE=BND;STRANDS=++:1,--:3;EVENT=1;MATEID=1_2;CIPOS=-5,6;CIEND=-7,8;CIPOS95=-1,0;CIEND95=0,0;IMPRECISE;SU=4;PE=3"
+    assert lines[1][7] == "SVTYPE=BND;STRANDS=++:1,--:3;SECONDARY;EVENT=1;MATEID=1_1;CIPOS=-7,8;CIEND=-5,6;CIPOS95=0,0;CIEND95=-1,0;IMPRECISE;SU=4;PE=3"
+    assert lines[2][7] == "SVTYPE=DUP;STRANDS=-+:2;SVLEN=5;END=95;CIPOS=0,0;CIEND=0,1;CIPOS95=0,0;CIEND95=0,0;SU=2;PE=2"
+    assert [x[8:] for x in lines] == [["GT:SU:PE", "./.:3:3", "./.:0:0"]] * 2 + [["GT:SU:PE", "./.:1:1", "./.:1:1"]]
+    path = f"file://{tmp_path}/full"
+    writers.save(writers.vcf_lines(calls, ["A", "B"], ["PE"]), path, writers.vcf_header(["A", "B"]))
+    first = sorted(p for p in (tmp_path / "full").iterdir() if p.name.startswith("part-"))[0]
+    assert first.read_text().startswith("##fileformat") and "#CHROM" in first.read_text()
+
+
+def test_sequence_headers_may_hold_the_mark(spark, tmp_path):
+    fa = readers.fasta(spark, put(tmp_path, "m.fa", ">s1 a>b\nAC\nGT\n>s2\nGG\n>s3\nT"))
+    assert {r["name"]: (r["description"], r["seq"]) for r in fa.collect()} == {"s1": ("s1 a>b", "ACGT"), "s2": ("s2", "GG"), "s3": ("s3", "T")}
+    assert {r["name"]: r["length"] for r in readers.lengths(fa).collect()} == {"s1": 4, "s2": 2, "s3": 1}
+    assert readers.starting_with(fa, "s1 a").first()["seq"] == "ACGT"
+
+
 def test_breakends_on_one_chromosome_become_inversions(spark, tmp_path):
     path = put(tmp_path, "b.vcf", "#CHROM\nc1\t5\ta\tN\tN]c1:90]\t.\t.\tSVTYPE=BND;STRANDS=++:3\nc1\t5\tb\tN\tN]c2:90]\t.\t.\tSVTYPE=BND;STRANDS=++:3\nc1\t5\tc\tN\t<DEL>\t.\t.\tSVTYPE=DEL;SECONDARY\n")
     assert {r["id"]: r["sv_type"] for r in readers.vcf(spark, path).collect()} == {"a": "INV", "b": "BND"}
