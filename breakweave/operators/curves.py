@@ -56,6 +56,67 @@ def product(curves: DataFrame, keys: list[str], members: str = "n_evidence") ->
     return normalised(met.drop("__n", "__all"), [*keys, "side"])
 
 
+def product_or_mode(curves: DataFrame, keys: list[str], member: list[str]) -> DataFrame:
+    """(keys, side, pos, logp, n_used): the product over a cluster's common interval or, where its members have none of more
+    than a base on either side, over those members alone that cover the modes of the mixture on both sides.
+
+    A cluster whose modes no single member covers has no rows.
+    """
+    own = curves.groupBy(*keys, *member, "side").agg(F.min("pos").alias("a"), F.max("pos").alias("b"))
+    common = own.groupBy(*keys, "side").agg(F.count("*").alias("n_all"), (F.max("a") < F.min("b")).alias("meets"))
+    whole = common.groupBy(*keys).agg(F.max("n_all").alias("n_all"), ((F.count("*") == 2) & F.every("meets")).alias("meets"))
+    agreed = curves.join(whole.where("meets").select(*keys, F.col("n_all").alias("n_used")), keys)
+    # the rest: members that cover both modes
+    rest = curves.join(whole.where("not meets").select(*keys), keys)
+    at = modes(mixture(rest, keys), keys).select(*keys, "side", F.col("mode").alias("pos"))
+    covering = rest.join(at, [*keys, "side", "pos"]).groupBy(*keys, *member).agg(F.count("*").alias("__sides")).where("__sides = 2").drop("__sides")
+    used = covering.groupBy(*keys).agg(F.count("*").alias("n_used"))
+    chosen = rest.join(covering, [*keys, *member], "left_semi").join(used, keys)
+    both = agreed.unionByName(chosen).groupBy(*keys, "side", "pos").agg(F.sum("logp").alias("logp"), F.count("*").alias("__n"), F.max("n_used").alias("n_used"))
+    return normalised(both.where("__n = n_used").drop("__n"), [*keys, "side"])
+
+
+def scores(curve: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, score): the largest probability over the width, summed over both sides."""
+    side = curve.groupBy(*keys, "side").agg((F.exp(F.max("logp")) / (F.max("pos") - F.min("pos") + 1)).alias("s"))
+    return side.groupBy(*keys).agg(F.sum("s").alias("score"))
+
+
+def padded(arrays: DataFrame, share: float, fixed: int, floor: float = 1e-100) -> DataFrame:
+    """Curves (first, p) with max(share of the distance between their ends, fixed) places of `floor` on either side, cut at
+    0 and made to sum to 1."""
+    size = F.greatest(F.lit(share) * (F.size("p") - 1), F.lit(float(fixed))).cast("int")
+    wide = arrays.withColumn("__n", size).withColumn("__p", F.concat(F.array_repeat(F.lit(floor), F.col("__n")), "p", F.array_repeat(F.lit(floor), F.col("__n"))))
+    over = F.greatest(F.lit(0), F.col("__n") - F.col("first")).cast("int")
+    cut = wide.withColumn("p", F.slice("__p", over + 1, F.size("__p"))).withColumn("first", F.greatest(F.lit(0), F.col("first") - F.col("__n")).cast("long"))
+    whole = F.aggregate("p", F.lit(0.0), lambda a, x: a + x)
+    return cut.withColumn("__sum", whole).withColumn("p", F.transform("p", lambda x: x / F.col("__sum"))).drop("__n", "__p", "__sum")
+
+
+def shared_mass(first_a: Column, a: Column, first_b: Column, b: Column) -> Column:
+    """Sum of the smaller of two curves' values over the places that both have; 0 if there are none."""
+    start, stop = F.greatest(first_a, first_b), F.least(first_a + F.size(a), first_b + F.size(b))
+    n = F.greatest(F.lit(0), stop - start).cast("int")
+    cut = lambda v, first: F.slice(v, F.when(n > 0, start - first + 1).otherwise(1).cast("int"), n)
+    return F.aggregate(F.zip_with(cut(a, first_a), cut(b, first_b), lambda x, y: F.least(x, y)), F.lit(0.0), lambda t, x: t + x)
+
+
+def pair_curves(evidence: DataFrame, sources: DataFrame, key: str = "ev_id") -> DataFrame:
+    """(evidence's columns, side, pos, logp): the curve of each side's strand out of its source's curve.
+
+    sources has a row (key, curve: array of log-probabilities behind a read's end) for each source of evidence. A curve runs
+    onwards from a + side and backwards, mirrored, from a - side; `clip` places are cut from its start where an interval was
+    cut, and it ends with the interval.
+    """
+    found = evidence.join(sources.select(key, "curve"), key)
+    sides = [F.struct(F.lit(s).alias("side"), F.col(f"begin_{s}").alias("begin"), F.col(f"finish_{s}").alias("finish"), F.col(f"clip_{s}").alias("clip"), F.col(f"strand_{s}").alias("strand")) for s in "lr"]
+    each = found.withColumn("s", F.explode(F.array(*sides)))
+    curve = F.when(F.col("s.strand") == "-", F.reverse("curve")).otherwise(F.col("curve"))
+    size = F.greatest(F.lit(0), F.col("s.finish") - F.col("s.begin") + 1).cast("int")
+    placed = each.select(*evidence.columns, F.col("s.side").alias("side"), F.col("s.begin").alias("__b"), F.posexplode(F.slice(curve, F.col("s.clip").cast("int") + 1, size)).alias("__k", "logp"))
+    return placed.select(*evidence.columns, "side", (F.col("__b") + F.col("__k")).alias("pos"), "logp")
+
+
 def mixture(curves: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, side, pos, logp): the log of the members' summed probabilities, over the hull."""
     summed = curves.groupBy(*keys, "side", "pos").agg(F.max("logp").alias("__top"), F.collect_list("logp").alias("__all"))

@@ -16,14 +16,19 @@ members as (select * exclude (reach, reach_l, island_r), cast(island_r as bigint
 
 _RATE = "(-ln(0.0001) / 20)"
 CURVES = f"""{ISLANDS},
-sizes as (select {G}, count(*) as n_evidence from members group by {G} having count(*) >= 2 and max(begin_l) < min(finish_l) and max(begin_r) < min(finish_r)),
-sides as (select {G}, {K}, n_evidence, 'l' as side, begin_l as b, finish_l as f from members join sizes using ({G})
- union all select {G}, {K}, n_evidence, 'r', begin_r, finish_r from members join sizes using ({G})),
+sizes as (select {G}, count(*) as n_all, max(begin_l) < min(finish_l) and max(begin_r) < min(finish_r) as meets from members group by {G}),
+sides as (select {G}, {K}, 'l' as side, begin_l as b, finish_l as f from members union all select {G}, {K}, 'r', begin_r, finish_r from members),
 raw as (select *, unnest(range(b, f + 1)) as pos from sides),
 odds as (select *, -{_RATE} * abs(pos - b - 20) as v from raw),
 curves as (select *, v - ln(sum(exp(v)) over (partition by {G}, {K}, side)) as logp from odds),
-met as (select {G}, side, pos, sum(logp) as s from curves group by {G}, side, pos having count(*) = max(n_evidence)),
-product as (select {G}, side, pos, s - max(s) over w - ln(sum(exp(s - t)) over w) as logp from (select *, max(s) over (partition by {G}, side) as t from met) window w as (partition by {G}, side))"""
+blend as (select {G}, side, pos, ln(sum(exp(logp))) as logp from curves join sizes using ({G}) where not meets group by {G}, side, pos),
+tops as (select {G}, side, arg_min(pos, struct_pack(v := -round(logp, 9), p := pos)) as top from blend group by {G}, side),
+covering as (select {G}, {K} from sides join tops using ({G}, side) where top between b and f group by {G}, {K} having count(*) = 2),
+used as (select {G}, count(*) as n_used from covering group by {G}),
+chosen as (select curves.*, n_all as n_used from curves join sizes using ({G}) where meets
+ union all select curves.*, n_used from curves join covering using ({G}, {K}) join used using ({G})),
+met as (select {G}, side, pos, sum(logp) as s, max(n_used) as n_used from chosen group by {G}, side, pos having count(*) = max(n_used)),
+product as (select {G}, side, pos, n_used, s - max(s) over w - ln(sum(exp(s - t)) over w) as logp from (select *, max(s) over (partition by {G}, side) as t from met) window w as (partition by {G}, side))"""
 
 SPLIT_TYPE = "case when strand_l <> strand_r then 'INV' when query_l = query_r then null when (strand_l = '+' and query_l < query_r) or (strand_l = '-' and query_l > query_r) then 'DEL' else 'DUP' end"
 INWARD = "((query_l < query_r and strand_l = '-') or (query_l > query_r and strand_l = '+'))"
@@ -125,7 +130,8 @@ ORACLE_SQL = {
     "cluster_support_by_sample": f"with {ISLANDS} select {G}, sample, count(*) as SU, count(*) filter (where ev_type = 'PE') as PE, count(*) filter (where ev_type = 'SR') as SR, count(*) filter (where ev_type = 'BD') as BD from members group by {G}, sample",
     "strand_histogram": f"with {ISLANDS}, {STRANDS} select * from strands",
     "call_thresholds": f"with {ISLANDS}, per as (select {G}, sample, count(*) as n from members group by {G}, sample) select {G}, cast(sum(n) as bigint) as weight, max(n) as max_sample from per group by {G} having sum(n) >= 6 and max(n) >= 4",
-    "curve_product": f"with {CURVES} select {G}, side, pos, round(logp, 6) as logp from product",
+    "curve_product": f"with {CURVES} select {G}, side, pos, n_used, round(logp, 6) as logp from product",
+    "curve_score": f"with {CURVES}, w as (select {G}, side, exp(max(logp)) / (max(pos) - min(pos) + 1) as s from product group by {G}, side) select {G}, round(sum(s), 9) as score from w group by {G}",
     "curve_mixture": f"with {CURVES} select {G}, side, pos, round(ln(sum(exp(logp))), 6) as logp from curves group by {G}, side, pos",
     "curve_mode": f"with {CURVES}, best as (select *, row_number() over (partition by {G}, side order by round(logp, 6) desc, pos) as rn from product) select {G}, side, max(pos) filter (where rn = 1) as mode, round(max(logp), 6) as max_logp, min(pos) as first, count(*) as size from best group by {G}, side",
     "log_space_algebra": "select l_orderkey, l_partkey, l_suppkey, cast(l_linenumber as bigint) as l_linenumber, round(l_discount * l_tax, 9) as times, round(l_discount + l_tax, 9) as plus from lineitem",

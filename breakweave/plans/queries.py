@@ -153,17 +153,18 @@ def call_thresholds(spark, sf_dir):
 
 
 def _curves(spark, sf_dir) -> DataFrame:
-    own = members(spark, sf_dir)
-    size = own.groupBy(*KEYS).agg(F.count("*").alias("n_evidence"), F.max("begin_l").alias("x1"), F.min("finish_l").alias("x2"), F.max("begin_r").alias("x3"), F.min("finish_r").alias("x4"))
-    # clusters with a common intersection and at least two members
-    own = own.join(size.where("n_evidence >= 2 and x1 < x2 and x3 < x4").select(*KEYS, "n_evidence"), KEYS)
-    at = curves.positions(own, [*KEYS, *ORDER], ["n_evidence"])
+    """The curves of all members of all clusters."""
+    at = curves.positions(members(spark, sf_dir), [*KEYS, *ORDER], [])
     raw = at.withColumn("logp", curves.two_sided(F.col("begin"), F.col("pos"), F.col("clip"), 20))
     return curves.normalised(raw, [*KEYS, *ORDER, "side"])
 
 
+def _product(spark, sf_dir) -> DataFrame:
+    return curves.product_or_mode(_curves(spark, sf_dir), KEYS, ORDER)
+
+
 def curve_product(spark, sf_dir):
-    return curves.product(_curves(spark, sf_dir), KEYS).withColumn("logp", F.round("logp", 6))
+    return _product(spark, sf_dir).withColumn("logp", F.round("logp", 6))
 
 
 def curve_mixture(spark, sf_dir):
@@ -171,15 +172,19 @@ def curve_mixture(spark, sf_dir):
 
 
 def curve_mode(spark, sf_dir):
-    return curves.modes(curves.product(_curves(spark, sf_dir), KEYS), KEYS, 6).withColumn("max_logp", F.round("max_logp", 6))
+    return curves.modes(_product(spark, sf_dir), KEYS, 6).withColumn("max_logp", F.round("max_logp", 6))
+
+
+def curve_score(spark, sf_dir):
+    return curves.scores(_product(spark, sf_dir), KEYS).withColumn("score", F.round("score", 9))
 
 
 def curve_trim(spark, sf_dir):
-    return curves.trimmed(curves.as_arrays(curves.product(_curves(spark, sf_dir), KEYS), KEYS), 1e-3)
+    return curves.trimmed(curves.as_arrays(_product(spark, sf_dir), KEYS), 1e-3)
 
 
 def curve_ci95(spark, sf_dir):
-    return curves.interval95(curves.as_arrays(curves.product(_curves(spark, sf_dir), KEYS), KEYS))
+    return curves.interval95(curves.as_arrays(_product(spark, sf_dir), KEYS))
 
 
 def log_space_algebra(spark, sf_dir):
@@ -390,7 +395,7 @@ QUERIES = {
     for f in (
         evidence_interval_pairs, split_interval_pairs, pair_sanity_filter, pair_aberrant_filter, source_routing, mate_pairing_toggle, split_pairing_gated, exclude_region_anti, overlap_join, overlap_semi,
         overlap_fraction_reciprocal, overlap_left_hits, count_hits, pair_to_pair_both, pair_to_pair_notboth, bnd_mate_stitch, interval_merge_gap50, genome_coverage_runs, coverage_summary, deep_regions, per_base_depth,
-        island_cluster_lr, greedy_cluster, greedy_cluster_windowed, cluster_support_by_sample, strand_histogram, call_thresholds, curve_product, curve_mixture, curve_mode, curve_trim, curve_ci95, log_space_algebra,
+        island_cluster_lr, greedy_cluster, greedy_cluster_windowed, cluster_support_by_sample, strand_histogram, call_thresholds, curve_product, curve_mixture, curve_mode, curve_score, curve_trim, curve_ci95, log_space_algebra,
         insert_size_stats, insert_size_histogram, survival_curve, svtype_alt_strings, svlen_ci, cigar_query_offsets, cigar_ref_end, sa_split_filter, discordant_filter, block_expansion, flag_stats, library_orientation,
         column_summaries, value_frequencies, sequence_composition, reverse_complement, pattern_count, info_map_parse, record_json, predicate_language, region_predicate, sort_check, multi_key_sort, genome_offset_lookup,
         genome_bins, site_dedup, cross_sample_sets, vcf_merge_sum, vcf_merge_product, cnv_to_intervals, window_passes, gap_sessions, coverage_by_hour, interval_union_types, call_pipeline,
