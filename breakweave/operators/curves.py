@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from breakweave.functions.logspace import to_p
+from breakweave.functions.rows import once
 
 EDGE = 1e-4
 
@@ -56,24 +58,49 @@ def product(curves: DataFrame, keys: list[str], members: str = "n_evidence") ->
     return normalised(met.drop("__n", "__all"), [*keys, "side"])
 
 
-def product_or_mode(curves: DataFrame, keys: list[str], member: list[str]) -> DataFrame:
-    """(keys, side, pos, logp, n_used): the product over a cluster's common interval or, where its members have none of more
-    than a base on either side, over those members alone that cover the modes of the mixture on both sides.
+def member_curves(df: DataFrame, keys: list[str], shape: Callable[[Column, Column, Column], Column]) -> DataFrame:
+    """(keys, side, begin, finish, logps): the normalised curve of either interval as an array, made without a shuffle.
 
-    A cluster whose modes no single member covers has no rows.
+    shape gives the log-probability from an interval's begin, a position and the clip.
     """
-    own = curves.groupBy(*keys, *member, "side").agg(F.min("pos").alias("a"), F.max("pos").alias("b"))
-    common = own.groupBy(*keys, "side").agg(F.count("*").alias("n_all"), (F.max("a") < F.min("b")).alias("meets"))
-    whole = common.groupBy(*keys).agg(F.max("n_all").alias("n_all"), ((F.count("*") == 2) & F.every("meets")).alias("meets"))
-    agreed = curves.join(whole.where("meets").select(*keys, F.col("n_all").alias("n_used")), keys)
-    # the rest: members that cover both modes
-    rest = curves.join(whole.where("not meets").select(*keys), keys)
-    at = modes(mixture(rest, keys), keys).select(*keys, "side", F.col("mode").alias("pos"))
-    covering = rest.join(at, [*keys, "side", "pos"]).groupBy(*keys, *member).agg(F.count("*").alias("__sides")).where("__sides = 2").drop("__sides")
-    used = covering.groupBy(*keys).agg(F.count("*").alias("n_used"))
-    chosen = rest.join(covering, [*keys, *member], "left_semi").join(used, keys)
-    both = agreed.unionByName(chosen).groupBy(*keys, "side", "pos").agg(F.sum("logp").alias("logp"), F.count("*").alias("__n"), F.max("n_used").alias("n_used"))
-    return normalised(both.where("__n = n_used").drop("__n"), [*keys, "side"])
+    sides = [F.struct(F.lit(s).alias("side"), *[F.col(f"{c}_{s}").alias(c) for c in ("begin", "finish", "clip")]) for s in "lr"]
+    each = df.select(*keys, F.inline(F.array(*sides))).where("finish >= begin")
+    raw = each.select("*", once(__raw=F.transform(F.sequence("begin", "finish"), lambda pos: shape(F.col("begin"), pos, F.col("clip")))))
+    top = raw.select("*", once(__top=F.array_max("__raw")))
+    whole = top.select("*", once(__log=F.col("__top") + F.log(F.aggregate("__raw", F.lit(0.0), lambda a, x: a + F.exp(x - F.col("__top"))))))
+    return whole.select(*keys, "side", "begin", "finish", F.transform("__raw", lambda x: x - F.col("__log")).alias("logps"))
+
+
+def by_position(rows: DataFrame, first: str = "begin") -> DataFrame:
+    """member_curves() as rows (..., pos, logp)."""
+    rest = [c for c in rows.columns if c not in ("begin", "finish", "logps", first)]
+    return rows.select(*rest, F.col(first).alias("__first"), F.posexplode("logps").alias("__k", "logp")).select(*rest, (F.col("__first") + F.col("__k")).alias("pos"), "logp")
+
+
+def _common(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, n_used, meets, a_l, b_l, a_r, b_r): the intervals that all members share."""
+    side = rows.groupBy(*keys, "side").agg(F.count("*").alias("n"), F.max("begin").alias("a"), F.min("finish").alias("b"))
+    ends = [F.max(F.when(F.col("side") == s, F.col(c))).alias(f"{c}_{s}") for s in "lr" for c in "ab"]
+    return side.groupBy(*keys).agg(F.max("n").alias("n_used"), ((F.count("*") == 2) & F.every(F.col("a") < F.col("b"))).alias("meets"), *ends)
+
+
+def product_or_mode(rows: DataFrame, keys: list[str], member: list[str]) -> DataFrame:
+    """(keys, side, pos, logp, n_used) of member_curves(): the product over a cluster's common interval or, where its members
+    have none of more than a base on either side, over those members alone that cover the modes of the mixture on both sides.
+
+    A cluster whose modes no single member covers has no rows. Arrays are cut to the common interval before they become rows.
+    """
+    joined = rows.join(_common(rows, keys), keys)
+    rest = joined.where("not meets").select(*rows.columns)
+    at = modes(mixture(by_position(rest), keys), keys).select(*keys, "side", "mode")
+    covering = rest.join(at, [*keys, "side"]).where("mode between begin and finish").groupBy(*keys, *member).agg(F.count("*").alias("__sides")).where("__sides = 2")
+    chosen = rest.join(covering, [*keys, *member], "left_semi")
+    used = joined.where("meets").unionByName(chosen.join(_common(chosen, keys), keys))
+    end = lambda c: F.when(F.col("side") == "l", F.col(f"{c}_l")).otherwise(F.col(f"{c}_r"))
+    cut = used.withColumns({"__a": end("a"), "__b": end("b")})
+    cut = cut.select(*keys, "side", "n_used", "__a", F.slice("logps", (F.col("__a") - F.col("begin") + 1).cast("int"), (F.col("__b") - F.col("__a") + 1).cast("int")).alias("logps"))
+    both = by_position(cut, "__a").groupBy(*keys, "side", "pos").agg(F.sum("logp").alias("logp"), F.max("n_used").alias("n_used"))
+    return normalised(both, [*keys, "side"])
 
 
 def scores(curve: DataFrame, keys: list[str]) -> DataFrame:

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from breakweave.functions import cigar
+from breakweave.functions.rows import once
 from breakweave.operators.stats import has
 
 
@@ -25,11 +26,6 @@ def supplementary(sa: str = "sa") -> tuple:
     return parts[0], parts[1].cast("long"), parts[2], parts[3], F.size(F.filter(F.split(F.col(sa), ";"), lambda x: x != ""))
 
 
-def _once(**columns: Column) -> Column:
-    """These columns as one generated row: the optimizer does not merge an expression into what is built on it."""
-    return F.inline(F.array(F.struct(*[c.alias(name) for name, c in columns.items()])))
-
-
 def split_reads(df: DataFrame, min_non_overlap: int = 20, min_indel: int = 50, max_desert: int = 50) -> DataFrame:
     """Records (rname, pos 0-based, flag, cigar, sa) with exactly one supplementary place and enough of the read on each side;
     on one chromosome and strand the two must also lie at least min_indel off one diagonal, with little unaligned between."""
@@ -39,7 +35,7 @@ def split_reads(df: DataFrame, min_non_overlap: int = 20, min_indel: int = 50, m
     minus = has(F.col("flag"), "reverse")
     own, mate = cigar.offsets(F.col("cigar"), minus), cigar.offsets(other, F.col("__strand") == "-")
     found = {f"__a_{k}": c for k, c in own.items()} | {f"__b_{k}": c for k, c in mate.items()}
-    both = one.select("*", _once(__minus=minus, __a_pos=F.col("pos"), __b_pos=F.col("__pos"), **found))
+    both = one.select("*", once(__minus=minus, __a_pos=F.col("pos"), __b_pos=F.col("__pos"), **found))
     eqo = lambda s: F.col(f"__{s}_sqo") + F.col(f"__{s}_qa") - 1
     both = both.withColumns({"__a_eqo": eqo("a"), "__b_eqo": eqo("b")})
     first = F.col("__a_sqo") <= F.col("__b_sqo")

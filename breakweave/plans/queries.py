@@ -154,9 +154,7 @@ def call_thresholds(spark, sf_dir):
 
 def _curves(spark, sf_dir) -> DataFrame:
     """The curves of all members of all clusters."""
-    at = curves.positions(members(spark, sf_dir), [*KEYS, *ORDER], [])
-    raw = at.withColumn("logp", curves.two_sided(F.col("begin"), F.col("pos"), F.col("clip"), 20))
-    return curves.normalised(raw, [*KEYS, *ORDER, "side"])
+    return curves.member_curves(members(spark, sf_dir), [*KEYS, *ORDER], lambda begin, pos, clip: curves.two_sided(begin, pos, clip, 20))
 
 
 def _product(spark, sf_dir) -> DataFrame:
@@ -168,7 +166,7 @@ def curve_product(spark, sf_dir):
 
 
 def curve_mixture(spark, sf_dir):
-    return curves.mixture(_curves(spark, sf_dir), KEYS).withColumn("logp", F.round("logp", 6))
+    return curves.mixture(curves.by_position(_curves(spark, sf_dir)), KEYS).withColumn("logp", F.round("logp", 6))
 
 
 def curve_mode(spark, sf_dir):
