@@ -58,48 +58,57 @@ def product(curves: DataFrame, keys: list[str], members: str = "n_evidence") ->
     return normalised(met.drop("__n", "__all"), [*keys, "side"])
 
 
-def member_curves(df: DataFrame, keys: list[str], shape: Callable[[Column, Column, Column], Column]) -> DataFrame:
-    """(keys, side, begin, finish, logps): the normalised curve of either interval as an array, made without a shuffle.
+def sided(df: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, side, begin, finish, clip): a row for either interval."""
+    sides = [F.struct(F.lit(s).alias("side"), *[F.col(f"{c}_{s}").alias(c) for c in ("begin", "finish", "clip")]) for s in "lr"]
+    return df.select(*keys, F.inline(F.array(*sides))).where("finish >= begin")
+
+
+def with_curves(rows: DataFrame, shape: Callable[[Column, Column, Column], Column]) -> DataFrame:
+    """rows with `logps`, the normalised curve of the interval as an array, made without a shuffle.
 
     shape gives the log-probability from an interval's begin, a position and the clip.
     """
-    sides = [F.struct(F.lit(s).alias("side"), *[F.col(f"{c}_{s}").alias(c) for c in ("begin", "finish", "clip")]) for s in "lr"]
-    each = df.select(*keys, F.inline(F.array(*sides))).where("finish >= begin")
-    raw = each.select("*", once(__raw=F.transform(F.sequence("begin", "finish"), lambda pos: shape(F.col("begin"), pos, F.col("clip")))))
+    raw = rows.select("*", once(__raw=F.transform(F.sequence("begin", "finish"), lambda pos: shape(F.col("begin"), pos, F.col("clip")))))
     top = raw.select("*", once(__top=F.array_max("__raw")))
     whole = top.select("*", once(__log=F.col("__top") + F.log(F.aggregate("__raw", F.lit(0.0), lambda a, x: a + F.exp(x - F.col("__top"))))))
-    return whole.select(*keys, "side", "begin", "finish", F.transform("__raw", lambda x: x - F.col("__log")).alias("logps"))
+    return whole.select(*rows.columns, F.transform("__raw", lambda x: x - F.col("__log")).alias("logps"))
 
 
 def by_position(rows: DataFrame, first: str = "begin") -> DataFrame:
-    """member_curves() as rows (..., pos, logp)."""
-    rest = [c for c in rows.columns if c not in ("begin", "finish", "logps", first)]
+    """with_curves() as rows (..., pos, logp)."""
+    rest = [c for c in rows.columns if c not in ("begin", "finish", "clip", "logps", first)]
     return rows.select(*rest, F.col(first).alias("__first"), F.posexplode("logps").alias("__k", "logp")).select(*rest, (F.col("__first") + F.col("__k")).alias("pos"), "logp")
 
 
 def _common(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, n_used, meets, a_l, b_l, a_r, b_r): the intervals that all members share."""
-    side = rows.groupBy(*keys, "side").agg(F.count("*").alias("n"), F.max("begin").alias("a"), F.min("finish").alias("b"))
-    ends = [F.max(F.when(F.col("side") == s, F.col(c))).alias(f"{c}_{s}") for s in "lr" for c in "ab"]
-    return side.groupBy(*keys).agg(F.max("n").alias("n_used"), ((F.count("*") == 2) & F.every(F.col("a") < F.col("b"))).alias("meets"), *ends)
+    """rows with n_used (members), a and b (what all of them share on this side) and meets (both sides share more than a base).
+
+    Windows rather than a join back: rows that come out of islands are already partitioned by a part of the keys.
+    """
+    side, whole = Window.partitionBy(*keys, "side"), Window.partitionBy(*keys)
+    marked = rows.withColumns({"n_used": F.count("*").over(side), "a": F.max("begin").over(side), "b": F.min("finish").over(side)})
+    two = F.min("side").over(whole) != F.max("side").over(whole)
+    return marked.withColumn("meets", two & (F.min((F.col("a") < F.col("b")).cast("int")).over(whole) == 1))
 
 
-def product_or_mode(rows: DataFrame, keys: list[str], member: list[str]) -> DataFrame:
-    """(keys, side, pos, logp, n_used) of member_curves(): the product over a cluster's common interval or, where its members
+def product_or_mode(rows: DataFrame, keys: list[str], member: list[str], shape: Callable[[Column, Column, Column], Column]) -> DataFrame:
+    """(keys, side, pos, logp, n_used) of sided() rows: the product over a cluster's common interval or, where its members
     have none of more than a base on either side, over those members alone that cover the modes of the mixture on both sides.
 
-    A cluster whose modes no single member covers has no rows. Arrays are cut to the common interval before they become rows.
+    A cluster whose modes no single member covers has no rows. Who takes part is decided on intervals; curves are made after
+    that and cut to the common interval before they become rows.
     """
-    joined = rows.join(_common(rows, keys), keys)
+    joined = _common(rows, keys)
     rest = joined.where("not meets").select(*rows.columns)
-    at = modes(mixture(by_position(rest), keys), keys).select(*keys, "side", "mode")
-    covering = rest.join(at, [*keys, "side"]).where("mode between begin and finish").groupBy(*keys, *member).agg(F.count("*").alias("__sides")).where("__sides = 2")
-    chosen = rest.join(covering, [*keys, *member], "left_semi")
-    used = joined.where("meets").unionByName(chosen.join(_common(chosen, keys), keys))
-    end = lambda c: F.when(F.col("side") == "l", F.col(f"{c}_l")).otherwise(F.col(f"{c}_r"))
-    cut = used.withColumns({"__a": end("a"), "__b": end("b")})
-    cut = cut.select(*keys, "side", "n_used", "__a", F.slice("logps", (F.col("__a") - F.col("begin") + 1).cast("int"), (F.col("__b") - F.col("__a") + 1).cast("int")).alias("logps"))
-    both = by_position(cut, "__a").groupBy(*keys, "side", "pos").agg(F.sum("logp").alias("logp"), F.max("n_used").alias("n_used"))
+    at = modes(mixture(by_position(with_curves(rest, shape)), keys), keys).select(*keys, "side", "mode")
+    hits = rest.join(at, [*keys, "side"]).where("mode between begin and finish").drop("mode")
+    # both sides of a member, or neither
+    covering = hits.groupBy(*keys, *member).agg(F.collect_list(F.struct("side", "begin", "finish", "clip")).alias("__s")).where("size(__s) = 2")
+    chosen = covering.select(*keys, *member, F.inline("__s")).select(*rows.columns)
+    used = with_curves(joined.where("meets").unionByName(_common(chosen, keys)), shape)
+    cut = F.slice("logps", (F.col("a") - F.col("begin") + 1).cast("int"), (F.col("b") - F.col("a") + 1).cast("int"))
+    both = by_position(used.select(*keys, "side", "n_used", "a", cut.alias("logps")), "a").groupBy(*keys, "side", "pos").agg(F.sum("logp").alias("logp"), F.max("n_used").alias("n_used"))
     return normalised(both, [*keys, "side"])
 
 
@@ -145,10 +154,10 @@ def pair_curves(evidence: DataFrame, sources: DataFrame, key: str = "ev_id") ->
 
 
 def mixture(curves: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, side, pos, logp): the log of the members' summed probabilities, over the hull."""
-    summed = curves.groupBy(*keys, "side", "pos").agg(F.max("logp").alias("__top"), F.collect_list("logp").alias("__all"))
-    rest = F.aggregate("__all", F.lit(0.0), lambda a, x: a + F.exp(x - F.col("__top")))
-    return summed.select(*keys, "side", "pos", (F.col("__top") + F.log(rest)).alias("logp"))
+    """(keys, side, pos, logp): the log of the members' summed probabilities, over the hull. Plain sums, so that they combine
+    before the shuffle; where all members are too small for a double the largest stands for the sum."""
+    summed = curves.groupBy(*keys, "side", "pos").agg(F.max("logp").alias("__top"), F.sum(F.exp("logp")).alias("__sum"))
+    return summed.select(*keys, "side", "pos", F.when(F.col("__sum") > 0, F.log("__sum")).otherwise(F.col("__top")).alias("logp"))
 
 
 def modes(curve: DataFrame, keys: list[str], digits: int = 9) -> DataFrame:

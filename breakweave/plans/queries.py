@@ -152,13 +152,17 @@ def call_thresholds(spark, sf_dir):
     return calling.passing(members(spark, sf_dir), KEYS, min_weight=6, min_sample_weight=4)
 
 
-def _curves(spark, sf_dir) -> DataFrame:
-    """The curves of all members of all clusters."""
-    return curves.member_curves(members(spark, sf_dir), [*KEYS, *ORDER], lambda begin, pos, clip: curves.two_sided(begin, pos, clip, 20))
+def _shape(begin, pos, clip):
+    return curves.two_sided(begin, pos, clip, 20)
+
+
+def _sided(spark, sf_dir) -> DataFrame:
+    """The intervals of all members of all clusters."""
+    return curves.sided(members(spark, sf_dir), [*KEYS, *ORDER])
 
 
 def _product(spark, sf_dir) -> DataFrame:
-    return curves.product_or_mode(_curves(spark, sf_dir), KEYS, ORDER)
+    return curves.product_or_mode(_sided(spark, sf_dir), KEYS, ORDER, _shape)
 
 
 def curve_product(spark, sf_dir):
@@ -166,7 +170,7 @@ def curve_product(spark, sf_dir):
 
 
 def curve_mixture(spark, sf_dir):
-    return curves.mixture(curves.by_position(_curves(spark, sf_dir)), KEYS).withColumn("logp", F.round("logp", 6))
+    return curves.mixture(curves.by_position(curves.with_curves(_sided(spark, sf_dir), _shape)), KEYS).withColumn("logp", F.round("logp", 6))
 
 
 def curve_mode(spark, sf_dir):
