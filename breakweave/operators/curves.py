@@ -52,12 +52,6 @@ def normalised(curves: DataFrame, by: list[str], logp: str = "logp") -> DataFram
     return curves.withColumn("__top", top).withColumn(logp, F.col(logp) - F.col("__top") - F.log(F.sum(F.exp(F.col(logp) - F.col("__top"))).over(own))).drop("__top")
 
 
-def product(curves: DataFrame, keys: list[str], members: str = "n_evidence") -> DataFrame:
-    """(keys, side, pos, logp) where all members of a cluster have a value: their log sum, normalised."""
-    met = curves.groupBy(*keys, "side", "pos").agg(F.sum("logp").alias("logp"), F.count("*").alias("__n"), F.max(members).alias("__all")).where("__n = __all")
-    return normalised(met.drop("__n", "__all"), [*keys, "side"])
-
-
 def sided(df: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, side, begin, finish, clip): a row for either interval."""
     sides = [F.struct(F.lit(s).alias("side"), *[F.col(f"{c}_{s}").alias(c) for c in ("begin", "finish", "clip")]) for s in "lr"]

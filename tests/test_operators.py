@@ -196,3 +196,21 @@ def test_stats_and_calls(spark):
     assert stats.frequencies(df, "g", "v").first()["falling"] == "2:2,1:1,3:1,9:1"
     c = spark.createDataFrame([(2, 5), (1, 7), (1, 3)], "chrom_l long, pos long")
     assert [(r["chrom_l"], r["pos"], r["call_id"]) for r in calling.numbered(c, ["pos"]).orderBy("call_id").collect()] == [(1, 3, 1), (1, 7, 2), (2, 5, 3)]
+
+
+def test_curves_are_padded_and_compared(spark):
+    rows = spark.createDataFrame([(1, 1, [0.5, 0.25, 0.25]), (2, 2, [1.0])], "id long, first long, p array<double>")
+    wide = {r["id"]: r for r in curves.padded(rows, 0.0, 2).collect()}
+    # two places on either side, one of them cut off below 0
+    assert (wide[1]["first"], len(wide[1]["p"])) == (0, 6) and abs(sum(wide[1]["p"]) - 1) < 1e-12
+    assert (wide[2]["first"], wide[2]["p"]) == (0, [1e-100, 1e-100, 1.0, 1e-100, 1e-100])
+    pair = rows.where("id = 1").crossJoin(spark.createDataFrame([(2, [0.5, 0.1]), (9, [1.0])], "at long, q array<double>"))
+    got = {r["at"]: r["m"] for r in pair.select("at", curves.shared_mass(F.col("first"), F.col("p"), F.col("at"), F.col("q")).alias("m")).collect()}
+    assert abs(got[2] - 0.35) < 1e-12 and got[9] == 0.0
+
+
+def test_pairs_take_the_curve_of_their_source(spark):
+    sources = spark.createDataFrame([(7, [-1.0, -2.0, -3.0])], "ev_id long, curve array<double>")
+    rows = spark.createDataFrame([(1, 7, 10, 12, 0, "+", 20, 21, 1, "-")], "id long, ev_id long, begin_l long, finish_l long, clip_l long, strand_l string, begin_r long, finish_r long, clip_r long, strand_r string")
+    got = {(r["side"], r["pos"]): r["logp"] for r in curves.pair_curves(rows, sources).collect()}
+    assert got == {("l", 10): -1.0, ("l", 11): -2.0, ("l", 12): -3.0, ("r", 20): -2.0, ("r", 21): -1.0}
