@@ -124,6 +124,36 @@ def test_near_copies_of_every_kind_are_found(spark):
     assert sorted(map(len, _parts(found))) == sorted(map(len, _parts(of))) and set(_parts(found)) == set(_parts(of))
 
 
+def test_near_copies_in_small_slices(spark, monkeypatch):
+    """Keys and pairs that come in many slices give the groups of all pairs; unrelated long texts are told apart unread."""
+    for name, most in (("SLICE_KEYS", 2000), ("PAIRS", 7), ("TEXT_PAIRS", 3)):
+        monkeypatch.setattr(copies, name, most)
+    rng = random.Random(4)
+    own = [[f"w{rng.randrange(9)}" for _ in range(n)] for n in [1500, 1600, 1700, 20, 40] * 2]
+    texts = [" ".join(x) for x in own] + [" ".join([*x[: -len(x) // 10], "other"]) for x in own[:7]]
+    sets = [copies.shingles(t.encode()) for t in texts]
+    of = roots(range(len(texts)), [(a, b) for a in range(len(texts)) for b in range(a) if copies.jaccard(sets[a], sets[b]) >= 0.8])
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string")
+    judged, plain = [], copies._judged
+    monkeypatch.setattr(copies, "_judged", lambda *a: judged.append(plain(*a)) or judged[-1])
+    found = {r["least"]: r["grp"] for r in copies.groups(df).collect()}
+    assert set(_parts(found)) == set(_parts(of))
+    assert all(r["j"] > 0.5 for pairs in judged for r in pairs.collect()) and sum(x.count() for x in judged) >= 7
+
+
+def test_long_sketches_never_rule_out_near_copies(spark):
+    rng = np.random.default_rng(2)
+    rows, want = [], []
+    for n, same in [(n, s) for n in (600, 1000, 1030, 5000) for s in (0.0, 0.5, 0.78, 0.82, 0.95)]:
+        a, more = rng.integers(0, 2**63, n, np.uint64), rng.integers(0, 2**63, n, np.uint64)
+        b = np.concatenate([a[: int(n * 2 * same / (1 + same))], more])[:n]
+        rows.append((*[copies.sketch(x, copies.long_words(len(x))).tolist() for x in (a, b[: n - n // 40])], n, n - n // 40))
+        want.append(copies.jaccard(np.unique(a), np.unique(b[: n - n // 40])))
+    df = spark.createDataFrame(rows, "long_a array<long>, long_b array<long>, size_a int, size_b int")
+    got = [r["ok"] for r in df.select(copies._long_alike(0.8).alias("ok")).collect()]
+    assert all(ok for ok, j in zip(got, want, strict=True) if j >= 0.8) and not any(ok for ok, j in zip(got, want, strict=True) if j < 0.6)
+
+
 def _parts(of):
     parts = defaultdict(set)
     for member, root in of.items():
