@@ -18,8 +18,8 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of copies and near-copies: that with the smallest id."""
-    return copies.keep_one(docs)
+    """One document of each group of copies and near-copies, by SimHash fingerprints and by shared shingles: that with the smallest id."""
+    return copies.keep_one(docs, fingerprints=True)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

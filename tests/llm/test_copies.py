@@ -154,6 +154,24 @@ def test_long_sketches_never_rule_out_near_copies(spark):
     assert all(ok for ok, j in zip(got, want, strict=True) if j >= 0.8) and not any(ok for ok, j in zip(got, want, strict=True) if j < 0.6)
 
 
+def test_near_copies_by_fingerprints(spark):
+    """Fingerprints within two bits link texts whose shingles are less alike than SIMILARITY."""
+    rng = random.Random(6)
+    base, near = [f"w{rng.randrange(3000)}xyz" for _ in range(120)], []
+    while len(near) < 3:
+        own = list(base)
+        for k in range(0, 120, 12):
+            own[k + rng.randrange(12)] = f"changed{rng.randrange(1000)}"
+        if (simhash.fingerprint(" ".join(base).encode()) ^ simhash.fingerprint(" ".join(own).encode())).bit_count() <= simhash.DISTANCE + 4 * (not near):
+            near.append(own)
+    texts = [" ".join(x) for x in [base, *near]]
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string")
+    prints = [plain_print(t) for t in texts]
+    of = roots(range(4), [(a, b) for a in range(4) for b in range(a) if (prints[a] ^ prints[b]).bit_count() <= 2])
+    assert sorted(r["doc_id"] for r in copies.keep_one(df, fingerprints=True).collect()) == sorted(set(of.values())) != [0, 1, 2, 3]
+    assert copies.keep_one(df).count() == 4
+
+
 def _parts(of):
     parts = defaultdict(set)
     for member, root in of.items():
