@@ -17,6 +17,11 @@ def to_p(ls: Column) -> Column:
     return F.when(F.isnan(ls) | (F.abs(ls) == float("inf")), F.lit(0.0)).otherwise(F.exp(ls))
 
 
+def rounded(x: Column, digits: int) -> Column:
+    """Like F.round() of doubles, without a decimal for each; zero has no sign."""
+    return F.rint(x * 10.0**digits) / 10.0**digits + 0.0
+
+
 def multiply(a: Column, b: Column) -> Column:
     return F.when((a == _zero()) | (b == _zero()), _zero()).otherwise(a + b)
 

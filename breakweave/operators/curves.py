@@ -33,6 +33,11 @@ def even_curve(size: int) -> list[float]:
     return [-math.log(size)] * size
 
 
+def two_sided_at(offset: np.ndarray, clip: int, back: int) -> np.ndarray:
+    """two_sided() at offsets from an interval's begin."""
+    return math.log(EDGE) / back * np.abs(offset + clip - back)
+
+
 def two_sided(begin: Column, pos: Column, clip: Column, back: int) -> Column:
     """split_curve() as an expression."""
     return -F.lit(-math.log(EDGE) / back) * F.abs(pos - begin + clip - back)

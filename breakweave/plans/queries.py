@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from breakweave.functions import calls, cigar, intervals, logspace, sequences
-from breakweave.operators import calling, cluster, curves, evidence, islands, merge, overlap, pairing, predicates, splits, stats
+from breakweave.operators import calling, cluster, clusterwise, curves, evidence, islands, merge, overlap, pairing, predicates, splits, stats
 from breakweave.plans.fixtures import ORDER, view, windows
 from breakweave.streaming import passes
 
@@ -165,6 +165,20 @@ def _product(spark, sf_dir) -> DataFrame:
     return curves.product_or_mode(_sided(spark, sf_dir), KEYS, ORDER, _shape)
 
 
+def _shape_at(offset, clip):
+    return curves.two_sided_at(offset, clip, 20)
+
+
+def _whole_products(spark, sf_dir) -> DataFrame:
+    return clusterwise.product_or_mode(members(spark, sf_dir), KEYS, ORDER, _shape_at)
+
+
+def _arrays(spark, sf_dir) -> DataFrame:
+    """Curves as arrays of probabilities; those whose logarithms are equal to nine places are, in whatever order members were added up."""
+    p = F.transform("logps", lambda x: logspace.to_p(logspace.rounded(x, 9)))
+    return clusterwise.by_side(_whole_products(spark, sf_dir), KEYS).select(*KEYS, "side", "first", p.alias("p"))
+
+
 def curve_product(spark, sf_dir):
     return _product(spark, sf_dir).withColumn("logp", F.round("logp", 6))
 
@@ -350,8 +364,9 @@ def vcf_merge_sum(spark, sf_dir):
 
 
 def vcf_merge_product(spark, sf_dir):
-    rows = _sample_curves(spark, sf_dir).withColumn("member", F.concat_ws(":", *[F.col(c).cast("string") for c in ORDER]))
-    return merge.multiplied_curves(rows, KEYS, "member").withColumn("logp", F.round("logp", 6))
+    both = clusterwise.multiplied(members(spark, sf_dir), KEYS, ORDER, _shape_at)
+    found = clusterwise.by_position(clusterwise.by_side(both, KEYS).drop("n_used"), "logps", "logp")
+    return found.where(F.col("logp") > float("-inf")).withColumn("logp", logspace.rounded(F.col("logp"), 6))
 
 
 def cnv_to_intervals(spark, sf_dir):

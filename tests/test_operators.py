@@ -8,7 +8,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from breakweave.functions import calls, cigar, intervals, logspace, sequences
-from breakweave.operators import calling, cluster, curves, evidence, islands, merge, overlap, pairing, predicates, splits, stats
+from breakweave.operators import calling, cluster, clusterwise, curves, evidence, islands, merge, overlap, pairing, predicates, splits, stats
+from breakweave.plans.queries import QUERIES
 
 
 def one(spark, **columns):
@@ -214,3 +215,62 @@ def test_pairs_take_the_curve_of_their_source(spark):
     rows = spark.createDataFrame([(1, 7, 10, 12, 0, "+", 20, 21, 1, "-")], "id long, ev_id long, begin_l long, finish_l long, clip_l long, strand_l string, begin_r long, finish_r long, clip_r long, strand_r string")
     got = {(r["side"], r["pos"]): r["logp"] for r in curves.pair_curves(rows, sources).collect()}
     assert got == {("l", 10): -1.0, ("l", 11): -2.0, ("l", 12): -3.0, ("r", 20): -2.0, ("r", 21): -1.0}
+
+
+def plain_products(rows, back):
+    """{(key, side): (first, n_used, logps)} by dictionaries."""
+    curve = lambda b, f, clip: {b + k: v - math.log(sum(math.exp(x) for x in raw)) for raw in [[math.log(1e-4) / back * abs(k + clip - back) for k in range(f - b + 1)]] for k, v in enumerate(raw)}
+    out = {}
+    for key in {r[0] for r in rows}:
+        own = [r for r in rows if r[0] == key]
+        there = {"l": [r[2:5] for r in own if r[3] >= r[2]], "r": [r[5:8] for r in own if r[6] >= r[5]]}
+        common = {s: (max(m[0] for m in x), min(m[1] for m in x)) for s, x in there.items() if x}
+        if len(common) < 2 or any(a >= b for a, b in common.values()):
+            modes = {}
+            for s, x in there.items():
+                mixed = {}
+                for m in x:
+                    for pos, v in curve(*m).items():
+                        mixed[pos] = mixed.get(pos, 0) + math.exp(v)
+                modes[s] = min(mixed, key=lambda p: (-round(math.log(mixed[p]), 9), p)) if mixed else None
+            held = [r for r in own if sum(x[1] == r[1] for x in own) == 1 and None not in modes.values() and r[2] <= modes["l"] <= r[3] and r[5] <= modes["r"] <= r[6]]
+            there = {"l": [r[2:5] for r in held], "r": [r[5:8] for r in held]}
+        for s, x in there.items():
+            if x:
+                a, b = max(m[0] for m in x), min(m[1] for m in x)
+                sums = [sum(curve(*m)[p] for m in x) for p in range(a, b + 1)]
+                whole = max(sums) + math.log(sum(math.exp(v - max(sums)) for v in sums))
+                out[key, s] = (a, len(x), [v - whole for v in sums])
+    return out
+
+
+def test_products_of_whole_clusters(spark, monkeypatch):
+    """Members that come twice, sides that are missing, clusters over batch ends, gaps in hulls, clips."""
+    rng = random.Random(7)
+    rows = []
+    for key in [None, *range(40)]:
+        for _ in range(rng.choice([1, 2, 5, 9])):
+            b, c, far = rng.randrange(12), rng.randrange(12), 100 * (rng.random() < 0.2)
+            rows.append((key, rng.randrange(30), b, b + rng.choice([-1, 8, 14, 20, 20]), rng.randrange(3), c + far, c + far + rng.choice([-1, 8, 14, 20, 20]), 0))
+    want = plain_products(rows, 10)
+    df = spark.createDataFrame(rows, "key long, m long, begin_l long, finish_l long, clip_l long, begin_r long, finish_r long, clip_r long")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 3)
+    try:
+        both = clusterwise.product_or_mode(df, ["key"], ["m"], lambda k, clip: math.log(1e-4) / 10 * np.abs(k + clip - 10))
+        got = {(r["key"], r["side"]): (r["first"], r["n_used"], r["logps"]) for r in clusterwise.by_side(both, ["key"]).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got.keys() == want.keys() and {k[0] for k in got} != {r[0] for r in rows}
+    for k, (first, n, logs) in want.items():
+        assert got[k][:2] == (first, n) and got[k][2] == pytest.approx(logs)
+    whole = clusterwise._summed(9, np.array([0, 2, 4]), np.arange(20.0), np.array([1, 5, 7]), np.array([4, 5, 5]))
+    monkeypatch.setattr(clusterwise, "PLACES", 1)
+    assert clusterwise._summed(9, np.array([0, 2, 4]), np.arange(20.0), np.array([1, 5, 7]), np.array([4, 5, 5])).tolist() == whole.tolist()
+
+
+@pytest.mark.parametrize("name", ["vcf_merge_product"])
+def test_curves_are_not_shuffled_by_position(spark, name):
+    plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "Join" not in plan and "Aggregate" not in plan
+    # places are made after the last shuffle
+    assert "Generate" not in plan[plan.index("MapInArrow") :]
