@@ -200,7 +200,7 @@ def curve_trim(spark, sf_dir):
 
 
 def curve_ci95(spark, sf_dir):
-    return curves.interval95(curves.as_arrays(_product(spark, sf_dir), KEYS))
+    return curves.interval95(_arrays(spark, sf_dir))
 
 
 def log_space_algebra(spark, sf_dir):
