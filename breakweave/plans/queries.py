@@ -188,7 +188,8 @@ def curve_mixture(spark, sf_dir):
 
 
 def curve_mode(spark, sf_dir):
-    return curves.modes(_product(spark, sf_dir), KEYS, 6).withColumn("max_logp", F.round("max_logp", 6))
+    found = clusterwise.modes(clusterwise.by_side(_whole_products(spark, sf_dir), KEYS), KEYS, 6)
+    return found.withColumn("max_logp", logspace.rounded(F.col("max_logp"), 6))
 
 
 def curve_score(spark, sf_dir):
