@@ -193,7 +193,7 @@ def curve_mode(spark, sf_dir):
 
 
 def curve_score(spark, sf_dir):
-    return curves.scores(_product(spark, sf_dir), KEYS).withColumn("score", F.round("score", 9))
+    return clusterwise.scores(_whole_products(spark, sf_dir), KEYS).withColumn("score", logspace.rounded(F.col("score"), 9))
 
 
 def curve_trim(spark, sf_dir):
