@@ -361,7 +361,8 @@ def _sample_curves(spark, sf_dir) -> DataFrame:
 
 
 def vcf_merge_sum(spark, sf_dir):
-    return merge.summed_curves(_sample_curves(spark, sf_dir), KEYS).withColumn("p", F.round("p", 9))
+    found = clusterwise.by_position(clusterwise.summed(members(spark, sf_dir), KEYS, ORDER, _shape_at), "p", "p")
+    return found.where("p > 0").withColumn("p", logspace.rounded(F.col("p"), 9))
 
 
 def vcf_merge_product(spark, sf_dir):
