@@ -180,7 +180,8 @@ def _arrays(spark, sf_dir) -> DataFrame:
 
 
 def curve_product(spark, sf_dir):
-    return _product(spark, sf_dir).withColumn("logp", F.round("logp", 6))
+    found = clusterwise.by_position(clusterwise.by_side(_whole_products(spark, sf_dir), KEYS), "logps", "logp")
+    return found.select(*KEYS, "side", "pos", logspace.rounded(F.col("logp"), 6).alias("logp"), "n_used")
 
 
 def curve_mixture(spark, sf_dir):
