@@ -1,8 +1,8 @@
 """Merging calls across samples.
 
 Calls of one type and chromosome pair form islands of left and then right intervals. Within an island the deepest set of
-calls that all overlap on both sides is taken out again and again; curves of each set are summed position by position, or
-multiplied where every member is non-zero at both modes of the sum.
+calls that all overlap on both sides is taken out again and again; clusterwise.py sums the curves of each set position by
+position, or multiplies them where every member is non-zero at both modes of the sum.
 """
 
 from __future__ import annotations
@@ -12,7 +12,6 @@ import heapq
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from breakweave.operators.curves import normalised
 from breakweave.operators.islands import two_level
 from breakweave.operators.ordered import labelled
 
@@ -79,25 +78,6 @@ def sets(calls: DataFrame, order: list[str]) -> DataFrame:
     return done.drop("island_l", "island_r", "__label")
 
 
-def summed_curves(curves: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, side, pos, p): members' probabilities (column p) summed over the hull and made to sum to 1."""
-    total = curves.groupBy(*keys, "side", "pos").agg(F.sum("p").alias("p"))
-    whole = total.groupBy(*keys, "side").agg(F.sum("p").alias("all"))
-    return total.join(whole, [*keys, "side"]).select(*keys, "side", "pos", (F.col("p") / F.col("all")).alias("p")).where("p > 0")
-
-
-def multiplied_curves(curves: DataFrame, keys: list[str], member: str) -> DataFrame:
-    """(keys, side, pos, logp): normalised products, of the clusters whose members are all non-zero at both modes of the sum."""
-    total = summed_curves(curves, keys)
-    best = F.max(F.struct(F.round("p", 12).alias("p"), (-F.col("pos")).alias("pos")))
-    mode = total.groupBy(*keys, "side").agg((-best["pos"]).alias("pos"))
-    size = curves.groupBy(*keys).agg(F.count_distinct(member).alias("members"))
-    at_mode = curves.where("p > 0").join(mode, [*keys, "side", "pos"]).groupBy(*keys).agg(F.count("*").alias("n"))
-    good = size.join(at_mode, keys).where("n = 2 * members").select(*keys, "members")
-    met = curves.where("p > 0").join(good, keys).groupBy(*keys, "side", "pos").agg(F.sum(F.log("p")).alias("logp"), F.count("*").alias("n"), F.max("members").alias("members"))
-    return normalised(met.where("n = members").select(*keys, "side", "pos", "logp"), [*keys, "side"])
-
-
 def symmetric95(p: list[float], mode: int, share: float = 0.95) -> tuple[int, int]:
     """Grow by one to either side at a time until the share is reached."""
     low = high = mode

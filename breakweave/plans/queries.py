@@ -161,26 +161,22 @@ def _sided(spark, sf_dir) -> DataFrame:
     return curves.sided(members(spark, sf_dir), [*KEYS, *ORDER])
 
 
-def _product(spark, sf_dir) -> DataFrame:
-    return curves.product_or_mode(_sided(spark, sf_dir), KEYS, ORDER, _shape)
-
-
 def _shape_at(offset, clip):
     return curves.two_sided_at(offset, clip, 20)
 
 
-def _whole_products(spark, sf_dir) -> DataFrame:
+def _product(spark, sf_dir) -> DataFrame:
     return clusterwise.product_or_mode(members(spark, sf_dir), KEYS, ORDER, _shape_at)
 
 
 def _arrays(spark, sf_dir) -> DataFrame:
     """Curves as arrays of probabilities; those whose logarithms are equal to nine places are, in whatever order members were added up."""
     p = F.transform("logps", lambda x: logspace.to_p(logspace.rounded(x, 9)))
-    return clusterwise.by_side(_whole_products(spark, sf_dir), KEYS).select(*KEYS, "side", "first", p.alias("p"))
+    return clusterwise.by_side(_product(spark, sf_dir), KEYS).select(*KEYS, "side", "first", p.alias("p"))
 
 
 def curve_product(spark, sf_dir):
-    found = clusterwise.by_position(clusterwise.by_side(_whole_products(spark, sf_dir), KEYS), "logps", "logp")
+    found = clusterwise.by_position(clusterwise.by_side(_product(spark, sf_dir), KEYS), "logps", "logp")
     return found.select(*KEYS, "side", "pos", logspace.rounded(F.col("logp"), 6).alias("logp"), "n_used")
 
 
@@ -189,16 +185,16 @@ def curve_mixture(spark, sf_dir):
 
 
 def curve_mode(spark, sf_dir):
-    found = clusterwise.modes(clusterwise.by_side(_whole_products(spark, sf_dir), KEYS), KEYS, 6)
+    found = clusterwise.modes(clusterwise.by_side(_product(spark, sf_dir), KEYS), KEYS, 6)
     return found.withColumn("max_logp", logspace.rounded(F.col("max_logp"), 6))
 
 
 def curve_score(spark, sf_dir):
-    return clusterwise.scores(_whole_products(spark, sf_dir), KEYS).withColumn("score", logspace.rounded(F.col("score"), 9))
+    return clusterwise.scores(_product(spark, sf_dir), KEYS).withColumn("score", logspace.rounded(F.col("score"), 9))
 
 
 def curve_trim(spark, sf_dir):
-    return curves.trimmed(curves.as_arrays(_product(spark, sf_dir), KEYS), 1e-3)
+    return curves.trimmed(_arrays(spark, sf_dir), 1e-3)
 
 
 def curve_ci95(spark, sf_dir):
@@ -355,12 +351,6 @@ def cross_sample_sets(spark, sf_dir):
     return _samples(spark, sf_dir).groupBy(*merge.KEYS, "merged").agg(F.count("*").alias("n"), F.min("start_l").alias("start_l"), F.max("end_l").alias("end_l"), F.min("start_r").alias("start_r"), F.max("end_r").alias("end_r"))
 
 
-def _sample_curves(spark, sf_dir) -> DataFrame:
-    rows = members(spark, sf_dir)
-    at = curves.positions(rows, [*KEYS, *ORDER], [])
-    return at.withColumn("p", F.exp(curves.two_sided(F.col("begin"), F.col("pos"), F.col("clip"), 20)))
-
-
 def vcf_merge_sum(spark, sf_dir):
     found = clusterwise.by_position(clusterwise.summed(members(spark, sf_dir), KEYS, ORDER, _shape_at), "p", "p")
     return found.where("p > 0").withColumn("p", logspace.rounded(F.col("p"), 9))

@@ -268,7 +268,7 @@ def test_products_of_whole_clusters(spark, monkeypatch):
     assert clusterwise._summed(9, np.array([0, 2, 4]), np.arange(20.0), np.array([1, 5, 7]), np.array([4, 5, 5])).tolist() == whole.tolist()
 
 
-@pytest.mark.parametrize("name", ["curve_product", "curve_mode", "curve_score", "curve_ci95", "vcf_merge_sum", "vcf_merge_product"])
+@pytest.mark.parametrize("name", ["curve_product", "curve_mode", "curve_score", "curve_trim", "curve_ci95", "vcf_merge_sum", "vcf_merge_product"])
 def test_curves_are_not_shuffled_by_position(spark, name):
     plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("MapInArrow") == 1 and "Join" not in plan and "Aggregate" not in plan
