@@ -1,4 +1,4 @@
-"""The bit model behind scoring.py: binary codes, predictors, gated mixing and its refinement within a text.
+"""The bit model behind scoring.py: binary codes, predictors, gated online mixing and an adaptive map.
 
 A token is coded by binary events. If the text's last two tokens came before in it, one event says whether what followed
 then follows again. If not, the path through a code tree names the token: its first node tells words of the alphabet from
@@ -9,16 +9,20 @@ log-odds of counts of zeros and ones in its own context:
 * a node of the word tree: the node alone; the node after the last frequent word;
 * a node of the letter tree: the node after the last LENGTHS letters of the word, by a hash of both.
 
-A gate (what kind of event, and how much is known of it) selects the weights that mix an event's log-odds. Within a text,
-each gate's mixed log-odds are scaled and shifted by numbers that start at 1 and 0 and move online, block after block of
-tokens, by gradient over curvature.
+A gate (what kind of event, and how much is known of it) selects the weights that mix an event's log-odds. One more predictor
+is the text itself: its own counts at the first steps of a path and the first letters of a word. What is mixed is refined by
+an adaptive map: behind each gate, what became of such log-odds.
+
+Each text starts with the weights fitted to all learning texts and an even map. All of its events, to the last step and
+letter, move the weights of their gate, the share of the text's own counts and their level of the map: online, after each
+block of tokens, by gradient over curvature. The mixer learns from its own errors, the map from those that are left.
 """
 
 from __future__ import annotations
 
 import heapq
 from collections.abc import Iterable, Iterator
-from itertools import chain, repeat
+from itertools import chain, islice, repeat
 
 import numpy as np
 
@@ -33,18 +37,27 @@ REPEAT, FIRST, INNER, LETTER = 0, len(RUNS) + 1, 2 * (len(RUNS) + 1), 2 * (len(R
 GATES = LETTER + 2 * (ORDERS + 1)
 #: Added to counts before their log-odds are taken; how many sightings the wider context counts for in the narrower one.
 PRIOR, WIDER = 0.2, 2.0
-#: Tokens of a text after which the refinement moves, doubling from the first to the last; and how many certain events it resists.
+#: Tokens of a text after which weights and map move, doubling from the first to the last; and what weights and shares resist.
 BLOCKS = (32, 1024)
 INERTIA = 12.0
 #: Letters that select the text's own counts, what those counts start from, and their first share.
 OWN_LETTERS, OWN_PRIOR, OWN_SHARE = 2, 6.0, 0.7
-#: Steps of a path in the word tree, and letters of a spelled word, that the text's own counts and the refinement touch.
+#: Steps of a path in the word tree, and letters of a spelled word, that the text's own counts predict.
 NEAR_STEPS, NEAR_LETTERS = 6, 2
+#: Of the adaptive map: what a level resists, and levels from -TOP to TOP.
+MAP_INERTIA, TOP = 40.0, 8
+LEVELS = 2 * TOP + 1
+#: The squares of an event's inputs together, as the weights' inertia takes them.
+SQUARE = 8.0
+#: Tokens whose events are worked on together.
+TOGETHER = 8192
+#: Places up to which events are laid out place by place.
+DEEP = 64
 #: Spelled words that a worker remembers.
-REMEMBERED = 500_000
+REMEMBERED = 250_000
 END = 32
-#: Mixed log-odds are kept in steps of 1 / ODDS, beside the gate.
-ODDS, GATE_BITS = 32, 5
+#: A predictor's log-odds are kept in steps of 1 / ODDS, beside the gate; those of letters in steps of 1 / LETTER_ODDS.
+ODDS, GATE_BITS, LETTER_ODDS = 32, 5, 12
 
 
 class Tree:
@@ -259,8 +272,27 @@ def starting_weights(size: int) -> np.ndarray:
     return w
 
 
+class Own:
+    """The texts' own counts of zeros and ones: eight hashed cells a token."""
+
+    def __init__(self, sizes: np.ndarray):
+        room = 1 << np.ceil(np.log2(8 * sizes)).astype(np.int64)
+        self.first, self.mask = np.cumsum(room) - room, room - 1
+        self.counts = np.zeros((room.sum(), 2), np.float32)
+
+    def cells(self, owner: np.ndarray, key: np.ndarray) -> np.ndarray:
+        return self.first.take(owner) + (((key * 0x9E3779B1) >> 7) & self.mask.take(owner))
+
+    def take(self, cells: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        both = self.counts.view(np.int64).ravel().take(cells).view(np.float32)
+        return both[::2], both[1::2]
+
+    def add(self, cells: np.ndarray, bit: np.ndarray) -> None:
+        np.add.at(self.counts.ravel(), cells * 2 + bit, np.float32(1))
+
+
 class Model:
-    """What scoring needs: for each event its gate and mixed log-odds, from tables."""
+    """What scoring needs: for each event its gate and the log-odds of its predictors, from tables, and the weights to start from."""
 
     def __init__(self, size: int, classes: int, counts: np.ndarray):
         """counts: those of add_situations() over all learning texts, for an alphabet of `size` words."""
@@ -275,65 +307,49 @@ class Model:
             weights = newton_step(weights, sums[0][0] + sums[1][0], sums[0][1] + sums[1][1], start)
         self.weights = weights
         zeros, ones = self.tree.counts(pairs.sum(axis=0))
-        x, nodes = log_odds(zeros, ones), np.arange(self.tree.nodes)
+        nodes = np.arange(self.tree.nodes)
+        self.alone = log_odds(zeros, ones)
+        self.steps = (self.tree.path << 1 | self.tree.bit).astype(np.int32)
         self.named = np.empty((len(pairs), self.tree.nodes), np.int16)
-        # what the steps after the near ones cost
-        self.tails = np.empty((len(pairs), self.other + 1), np.float16)
-        far = np.maximum(self.tree.length - NEAR_STEPS, 0)
-        leaf, at = ranged(self.tree.offset + self.tree.length - far, far)
-        node, bit = self.tree.path[at], self.tree.bit[at] == 1
         for c, own in enumerate(pairs):
             n0, n1 = self.tree.counts(own)
-            gate = node_gate(nodes, n0 + n1)
-            self.named[c] = packed(self._mix(np.stack([x, narrowed(n0, n1, x)]), gate), gate)
-            z = (self.named[c] >> GATE_BITS) * np.float32(1 / ODDS)
-            step = np.log2(1 + np.exp(np.where(bit, -z[node], z[node])))
-            self.tails[c] = np.bincount(leaf, step, self.other + 1)
+            self.named[c] = packed(narrowed(n0, n1, self.alone), node_gate(nodes, n0 + n1))
         total = repeats.sum(axis=1)
-        x = np.broadcast_to(log_odds(total[:, 0], total[:, 1])[:, None], repeats.shape[:2])
-        runs = np.broadcast_to(REPEAT + np.arange(len(repeats))[:, None], x.shape).ravel()
-        self.again = packed(self._mix(np.stack([x, narrowed(repeats[..., 0], repeats[..., 1], x)]).reshape(2, -1), runs), runs).reshape(x.shape)
-
-    def _mix(self, x: np.ndarray, gate: np.ndarray) -> np.ndarray:
-        w = self.weights[gate].T.astype(np.float32)
-        return (w[:-1] * x).sum(axis=0) + w[-1]
+        self.went_on = log_odds(total[:, 0], total[:, 1])
+        x = np.broadcast_to(self.went_on[:, None], repeats.shape[:2])
+        self.again = packed(narrowed(repeats[..., 0], repeats[..., 1], x), np.broadcast_to(REPEAT + np.arange(len(repeats))[:, None], x.shape))
 
     def with_letters(self, tree: Tree, counts: np.ndarray, weights: np.ndarray) -> None:
         self.letter_tree, self.letter_weights = tree, weights.astype(np.float32)
         zeros, ones = counts[..., 0], counts[..., 1]
-        # log-odds in sixteenths, whether it came eight times, whether it came
-        odds = np.clip(np.rint(log_odds(zeros, ones) * 16), -250, 250).astype(np.int16)
+        # log-odds in steps, whether it came eight times, whether it came
+        odds = np.clip(np.rint(log_odds(zeros, ones) * LETTER_ODDS), -127, 127).astype(np.int16)
         seen = zeros + ones
         self.letters = (odds << 2) | ((seen >= 8).astype(np.int16) << 1) | (seen > 0)
 
     def spell(self, words: list[bytes]) -> tuple[np.ndarray, ...]:
-        """(first near event of each word and after the last, their packed log-odds and gates, bits, and cells of the text's own counts, bits of the rest of each word)."""
+        """(first event of each word and after the last, how many events are near, log-odds (events, ORDERS) in steps, gates and bits, cells of the text's own counts)."""
         word, bit, cells, letter = letter_cells(self.letter_tree, words)
         known, best = np.zeros(len(bit), np.int16), np.zeros(len(bit), np.int16)
-        odds = []
+        odds = np.empty((len(bit), ORDERS), np.int8)
         for k in range(ORDERS):
             found = self.letters[k].take(cells[k])
-            odds.append((found >> 2) * np.float32(1 / 16))
+            odds[:, k] = found >> 2
             known += found & 1
             # whether the longest order that knows the event has met it often
             best = np.maximum(best, (found & 1) * (2 * k + 2 + ((found >> 1) & 1)))
-        gate = (LETTER + 2 * known + (best & 1)).astype(np.int64)
-        w = np.ascontiguousarray(self.letter_weights.T)
-        z = w[-1].take(gate)
-        for own, x in zip(w, odds, strict=False):
-            z += own.take(gate) * x
-        # events of the first letters are kept, those of the others are added up
-        near = np.nonzero(letter < NEAR_LETTERS)[0]
-        cost = np.log2(1 + np.exp(z * (1 - 2 * bit)))
-        cost[near] = 0
-        first = np.searchsorted(word.take(near), np.arange(len(words) + 1))
-        return first, packed(z.take(near), gate.take(near)), bit.take(near), cells[OWN_LETTERS - 1].take(near), np.bincount(word, cost, len(words))
+        gate = LETTER + 2 * known + (best & 1)
+        first = np.searchsorted(word, np.arange(len(words) + 1))
+        near = np.diff(np.concatenate([[0], np.cumsum(letter < NEAR_LETTERS)])[first])
+        return first, near, odds, (gate << 1 | bit).astype(np.uint8), cells[OWN_LETTERS - 1]
 
     def flat(self, texts: list[list[bytes]], alphabet: dict[bytes, int]) -> dict:
         """flattened() texts, whose spelled words are remembered until the next call."""
         memory = self.__dict__.get("memory")
-        if memory is None or len(memory.place) > REMEMBERED:
+        if memory is None:
             memory = self.memory = Spelled()
+        if len(memory.place) > REMEMBERED:
+            memory.place.clear()
         n = len(memory.place)
         found = flattened(texts, alphabet, self.classes, memory.place)
         if found["fresh"]:
@@ -342,69 +358,137 @@ class Model:
 
     def costs(self, flat: dict) -> np.ndarray:
         """Bits of each text of flat()."""
-        starts, sizes, memory = flat["starts"], flat["sizes"], self.memory
-        first, (letter_odds, letter_bits, letter_cell), letter_tails = memory.first, memory.events, memory.tails
-        shift = np.zeros(len(sizes) * GATES, np.float32)
-        share = np.full_like(shift, OWN_SHARE)
-        held = np.full((2, len(shift)), INERTIA)
-        out = np.zeros(len(sizes))
+        starts, sizes = flat["starts"], flat["sizes"]
+        named, spelled = Online(self.weights[:LETTER], sizes), Online(self.letter_weights[LETTER:], sizes)
         at, block = 0, BLOCKS[0]
-        # the text's own counts: eight cells a token
-        room = 1 << np.ceil(np.log2(8 * sizes)).astype(np.int64)
-        begin, mask = np.concatenate([[0], np.cumsum(room)[:-1]]), room - 1
-        counts = np.zeros((2, room.sum()), np.float32)
         while (live := np.nonzero(sizes > at)[0]).size:
-            of, token = ranged(starts[live] + at, np.minimum(sizes[live] - at, block))
-            text = live[of]
-            guess = flat["guess"].take(token)
-            tried = np.nonzero(guess >= 0)[0]
-            run, hit = flat["run"].take(token[tried]), flat["hit"].take(token[tried])
-            named = np.ones(len(token), bool)
-            named[tried[hit]] = False
-            token, own = token[named], text[named]
-            symbol = flat["symbol"].take(token)
-            context = flat["context"].take(token)
-            out += np.bincount(own, self.tails.ravel().take(context * (self.other + 1) + symbol), len(out))
-            i, node, step = self.tree.events(symbol, NEAR_STEPS)
-            far = np.nonzero(symbol == self.other)[0]
-            word = flat["word"].take(token[far])
-            if len(far):
-                out += np.bincount(own[far], letter_tails.take(word), len(out))
-            start = first.take(word)
-            j, event = ranged(start, first.take(word + 1) - start) if len(far) else (word, word)
-            both = np.concatenate(
-                [
-                    self.again[run, guess[tried]],
-                    self.named.ravel().take((context * self.tree.nodes).take(i) + node),
-                    letter_odds[event],
-                ]
-            )
-            owner = np.concatenate([text[tried], own.take(i), own[far].take(j)])
-            key = np.concatenate([run, node + 8, letter_cell[event] - np.int64(1 << SLOT_BITS)])
-            came = np.concatenate([hit, step, letter_bits[event]]).astype(np.float32)
-            sign = 2 * came - 1
-            z, gate = (both >> GATE_BITS) * np.float32(1 / ODDS), both & ((1 << GATE_BITS) - 1)
-            local = begin.take(owner) + (((key * 0x9E3779B1) >> 7) & mask.take(owner))
-            # log-odds of the text's own counts on top of OWN_PRIOR sightings that follow z, less z
-            odds = np.exp(z)
-            both = 1 + odds
-            innovation = np.log((counts[1].take(local) * both + OWN_PRIOR * odds) / (counts[0].take(local) * both + OWN_PRIOR)) - z
-            cell = owner * GATES + gate
-            mixed = z + shift.take(cell) + share.take(cell) * innovation
-            # the odds against what came
-            wrong = np.exp(np.clip(-sign * mixed, -20, 20))
-            out += np.bincount(owner, np.log2(1 + wrong), len(out))
-            p_wrong = wrong / (1 + wrong)
-            miss, sure, size = sign * p_wrong, p_wrong * (1 - p_wrong), len(shift)
-            for k, (value, x) in enumerate(((shift, None), (share, innovation))):
-                held[k] += np.bincount(cell, sure if x is None else sure * x * x, size)
-                value += np.bincount(cell, miss if x is None else miss * x, size) / held[k]
-            np.clip(shift, -4, 4, out=shift)
-            np.clip(share, 0, 2, out=share)
-            np.add.at(counts[0], local, 1 - came)
-            np.add.at(counts[1], local, came)
+            many = np.minimum(sizes[live] - at, block)
+            # a few texts at a time, so that their events fit a cache
+            step = (np.cumsum(many) - many) // TOGETHER
+            for texts, n in zip(*(np.split(x, np.nonzero(np.diff(step))[0] + 1) for x in (live, many)), strict=True):
+                of, token = ranged(starts[texts] + at, n)
+                # the texts take turns: sums go faster if the next value is for another cell
+                turn = np.argsort((token - (starts[texts] + at).take(of)).astype(np.uint16), kind="stable")
+                token, text = token.take(turn), texts.take(of.take(turn))
+                tried = flat["guess"].take(token) >= 0
+                left = ~(tried & flat["hit"].take(token))
+                asked, tried, token, text = text[tried], token[tried], token[left], text[left]
+                symbol = flat["symbol"].take(token)
+                named.block(*self._paths(flat, token, symbol, text, tried, asked, named.own), texts[0], texts[-1] + 1)
+                far = symbol == self.other
+                if far.any():
+                    spelled.block(*self._letters(flat["word"].take(token[far]), text[far], spelled.own), texts[0], texts[-1] + 1)
             at, block = at + block, min(2 * block, BLOCKS[1])
-        return out
+        return named.bits + spelled.bits
+
+    def _paths(self, flat: dict, token: np.ndarray, symbol: np.ndarray, text: np.ndarray, tried: np.ndarray, asked: np.ndarray, own: Own) -> tuple:
+        """Events for Online.block(): repeats that were tried (asked: their texts), and the tokens' paths in the word tree."""
+        run, again = flat["run"].take(tried), flat["hit"].take(tried)
+        row = flat["context"].take(token) * self.tree.nodes
+        at, depths, (owner, row) = laid(self.tree.offset.take(symbol), self.tree.length.take(symbol), text, row)
+        step = self.steps.take(at)
+        node = step >> 1
+        both = np.concatenate([self.again[run, flat["guess"].take(tried)], self.named.ravel().take(row + node)])
+        inputs = [np.concatenate([self.went_on.take(run), self.alone.take(node)]), (both >> GATE_BITS) * np.float32(1 / ODDS)]
+        near = sum(depths[:NEAR_STEPS])
+        owner = np.concatenate([asked, owner])
+        cells = own.cells(owner[: len(run) + near], np.concatenate([run, node[:near] + 8]))
+        return inputs, both & ((1 << GATE_BITS) - 1), owner, np.concatenate([again.view(np.int8), (step & 1).astype(np.int8)]), slice(0, len(cells)), cells
+
+    def _letters(self, word: np.ndarray, text: np.ndarray, own: Own) -> tuple:
+        """Events for Online.block(): the letters of spelled words."""
+        first, (odds, gates, cells) = self.memory.first, self.memory.events
+        start = first.take(word)
+        event, _, (owner, near) = laid(start, first.take(word + 1) - start, text, start + self.memory.near.take(word))
+        x = odds.view(np.int32).ravel().take(event).view(np.int8).reshape(-1, ORDERS).T * np.float32(1 / LETTER_ODDS)
+        both = gates.take(event)
+        near = np.nonzero(event < near)[0]
+        return list(x), (both >> 1) - np.uint8(LETTER), owner, (both & 1).view(np.int8), near, own.cells(owner.take(near), cells.take(event.take(near)) - np.int64(1 << SLOT_BITS))
+
+
+def laid(starts: np.ndarray, sizes: np.ndarray, *of: np.ndarray) -> tuple[np.ndarray, list[int], list[np.ndarray]]:
+    """(value, how many at each place, the range's entry in each of `of`) of the ranges' values: all first ones, all second ones, and so on.
+
+    Those from place DEEP on come range after range.
+    """
+    order = np.argsort(np.uint16(DEEP) - np.minimum(sizes, DEEP).astype(np.uint16), kind="stable")
+    starts, sizes, *of = (x.take(order) for x in (starts, sizes, *of))
+    short = np.minimum(sizes, DEEP)[::-1]
+    depths = (len(short) - np.searchsorted(short, np.arange(short.max(initial=0)), side="right")).tolist()
+    deep, value = ranged(starts + DEEP, np.maximum(sizes - DEEP, 0)) if len(depths) == DEEP else (order[:0], order[:0])
+    return (
+        np.concatenate([*(starts[:n] + k for k, n in enumerate(depths)), value]),
+        depths,
+        [np.concatenate([*(x[:n] for n in depths), x.take(deep)]) for x in of],
+    )
+
+
+def missed(sign: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(slope of the log-odds y towards what came, its bend, natural logarithm of what it cost).
+
+    After an error the bend is no less than half the chance given to it, so that a step away from a sure error is not too long.
+    """
+    odds = np.exp(np.clip(-sign * y, -20, 20))
+    both = 1 + odds
+    wrong = odds / both
+    return sign * wrong, wrong * np.maximum(1 - wrong, np.float32(0.5)), np.log(both)
+
+
+class Online:
+    """Each text's weights, own counts, shares and adaptive map for events of some gates. They move after each block()."""
+
+    def __init__(self, weights: np.ndarray, sizes: np.ndarray):
+        """weights: (gates, inputs and a constant) that each text starts from; sizes: tokens of the texts."""
+        self.gates, self.own, size = len(weights), Own(sizes), len(sizes) * len(weights)
+        self.bits = np.zeros(len(sizes))
+        self.weights = np.tile(weights.T.astype(np.float32), (1, len(sizes)))
+        self.held, self.held_share = np.full(size, INERTIA * SQUARE), np.full(size, INERTIA)
+        self.share = np.full(size, OWN_SHARE, np.float32)
+        self.map, self.held_map = np.zeros(size * LEVELS, np.float32), np.full(size * LEVELS, MAP_INERTIA, np.float32)
+
+    def block(self, inputs: list[np.ndarray], gate: np.ndarray, owner: np.ndarray, bit: np.ndarray, near: slice | np.ndarray, local: np.ndarray, low: int, high: int) -> None:
+        """Add up the bits of events of the texts from low to high - 1, then learn from them.
+
+        near: the events that have own counts; local: the cells of these.
+        """
+        size = (high - low) * self.gates
+        cells, levels = slice(low * self.gates, high * self.gates), slice(low * self.gates * LEVELS, high * self.gates * LEVELS)
+        weights, held, share, held_share = self.weights[:, cells], self.held[cells], self.share[cells], self.held_share[cells]
+        refined, held_map = self.map[levels], self.held_map[levels]
+        owner = owner - low
+        cell = owner * self.gates + gate
+        y = weights[-1].take(cell)
+        for w, x in zip(weights, inputs, strict=False):
+            y += w.take(cell) * x
+        np.clip(y, -20, 20, out=y)
+        # log-odds of the text's own counts on top of OWN_PRIOR sightings that follow y, less y
+        known, by = y[near], cell[near]
+        odds = np.exp(known)
+        both = 1 + odds
+        zeros, ones = self.own.take(local)
+        news = np.log((ones * both + OWN_PRIOR * odds) / (zeros * both + OWN_PRIOR)) - known
+        y[near] = known + share.take(by) * news
+        sign = (2 * bit - 1).astype(np.float32)
+        miss, bend, _ = missed(sign, y)
+        slopes = [np.bincount(cell, miss * x, size) for x in inputs]
+        slopes.append(np.bincount(cell, miss, size))
+        norm = bend.copy()
+        for x in inputs:
+            norm += bend * x * x
+        held += np.bincount(cell, norm, size)
+        for w, slope in zip(weights, slopes, strict=True):
+            w += slope / (2 * held)
+        held_share += np.bincount(by, bend[near] * news * news, size)
+        share += np.bincount(by, miss[near] * news, size) / held_share
+        np.clip(share, 0, 2, out=share)
+        # the adaptive map: what became of such log-odds behind the same gate
+        level = np.rint(np.clip(y, -TOP, TOP)).astype(np.int64) + (cell * LEVELS + TOP)
+        y += refined.take(level)
+        miss, bend, cost = missed(sign, y)
+        self.bits[low:high] += np.bincount(owner, cost, high - low) * (1 / np.log(2))
+        held_map += np.bincount(level, bend, size * LEVELS)
+        refined += np.bincount(level, miss, size * LEVELS) / held_map
+        self.own.add(local, bit[near])
 
 
 class Spelled:
@@ -412,23 +496,23 @@ class Spelled:
 
     def __init__(self):
         self.place: dict[bytes, int] = {}
-        self.first, self.tails = np.zeros(1, np.int64), np.zeros(0, np.float32)
-        self.events = [np.zeros(0, t) for t in (np.int16, np.int8, np.int32)]
+        self.first, self.near = np.zeros(1, np.int64), np.zeros(0, np.int64)
+        self.events = [np.zeros((0, ORDERS), np.int8), np.zeros(0, np.uint8), np.zeros(0, np.int32)]
 
     def add(self, model: Model, n: int, fresh: list[bytes]) -> None:
         """Words after the first n."""
-        first, *events, tails = model.spell(fresh)
+        first, near, *events = model.spell(fresh)
         start, stop = int(self.first[n]), n + len(fresh)
-        self.first, self.tails = grown(self.first, stop + 1), grown(self.tails, stop)
+        self.first, self.near = grown(self.first, stop + 1), grown(self.near, stop)
         self.first[n : stop + 1] = start + first
-        self.tails[n:stop] = tails
+        self.near[n:stop] = near
         for k, own in enumerate(events):
             self.events[k] = grown(self.events[k], start + len(own))
             self.events[k][start : start + len(own)] = own
 
 
 def grown(values: np.ndarray, size: int) -> np.ndarray:
-    return values if size <= len(values) else np.concatenate([values, np.zeros(max(size, 2 * len(values)) - len(values), values.dtype)])
+    return values if size <= len(values) else np.concatenate([values, np.zeros((max(size, 2 * len(values)) - len(values), *values.shape[1:]), values.dtype)])
 
 
 def flattened(texts: list[list[bytes]], alphabet: dict[bytes, int], classes: int, others: dict[bytes, int]) -> dict:
@@ -444,8 +528,9 @@ def flattened(texts: list[list[bytes]], alphabet: dict[bytes, int], classes: int
     starts, of = np.cumsum(sizes) - sizes, np.repeat(np.arange(len(texts)), sizes)
     far = np.nonzero(found < 0)[0]
     word = np.zeros(len(found), np.int64)
-    word[far] = [others.setdefault(tokens[k], len(others)) for k in far.tolist()]
-    fresh = list(dict.fromkeys(tokens[k] for k in far[word[far] >= before].tolist()))
+    add = others.setdefault
+    word[far] = [add(tokens[k], len(others)) for k in far.tolist()]
+    fresh = list(islice(reversed(others), len(others) - before))[::-1]
     symbol, unique = found.copy(), found
     symbol[far] = size
     unique[far] = size + 1 + word[far]

@@ -1,13 +1,14 @@
 """Language-model scores by logistic context mixing.
 
 A text is its tokens (white-space separated words, A-Z lower-cased) and one end. mixing.py says how tokens become binary
-events, which predictors each event has, how gated weights mix their log-odds and how the mixture is refined within a text.
+events, which predictors each event has, how gated weights mix their log-odds, how an adaptive map refines the mixture, and
+how all of these move online within a text.
 
 All learning texts count, in sums that are merged block by block: how often each word came; how often each symbol of the
 alphabet came after each frequent word; how often repeats went on; and, once for each word, what followed after its letters.
-The alphabet is the most frequent words (at most ALPHABET, each seen twice or more); any other word is spelled. The mixing
-weights are Newton steps on the gradient and curvature of these counts, so all learning texts and words have their part in
-them; a sighting is left out of the counts that predict it. Tables have a size that alphabet, classes and slots set, whatever the
+The alphabet is the most frequent words (at most ALPHABET, each seen twice or more); any other word is spelled. The weights
+that a text starts with are Newton steps on the gradient and curvature of these counts, so all learning texts and words have
+their part in them; a sighting is left out of the counts that predict it. Tables have a size that alphabet, classes and slots set, whatever the
 input; the word counts grow with it and stay in a table, which the base score joins.
 
 A text's own state starts afresh after PART_BYTES, so that memory is bounded; a single word takes memory in its own proportion.
@@ -39,6 +40,8 @@ ALPHABET, CLASSES = 1 << 16, 128
 COMMON = 1 << 18
 #: Bytes of the texts that are worked on together, and after which a text's own state starts afresh.
 BATCH_BYTES, PART_BYTES = 512 << 10, 2 << 20
+#: What a text's own state counts for in these.
+TEXT_BYTES = 1 << 10
 #: Words that are spelled together; distinct words that a task holds before it hands their counts on.
 SPELLED, FLUSH_WORDS = 4_000, 600_000
 #: Cells of the blocks in which sums travel.
@@ -66,7 +69,7 @@ def batched(batches) -> Iterator[tuple[list, list[int], list[list[bytes]]]]:
                 of.append(len(ids))
                 found.append(tokens)
             ids.append(doc_id.as_py())
-            size += len(data) + 8
+            size += len(data) + TEXT_BYTES
             if size >= BATCH_BYTES:
                 yield ids, of, found
                 ids, of, found, size = [], [], [], 0
@@ -227,16 +230,20 @@ def score_batches(model: mixing.Model, ids: dict[bytes, int], times: dict[bytes,
         known = np.bincount(own, seen[flat["symbol"]] > 0, n).astype(np.int64).tolist()
         n_tokens = np.bincount(own, minlength=n).tolist()
         size = np.bincount(of, [sum(map(len, x)) + len(x) for x in found], n).astype(np.int64).tolist()
-        rare: list[dict[bytes, int]] = [{} for _ in doc_ids]
-        for doc, at in zip(own[flat["far"]].tolist(), flat["far"].tolist(), strict=True):
-            word = flat["tokens"][at]
+        # each spelled word of a document once
+        far = flat["far"]
+        key, at, many = np.unique(own[far] << 32 | flat["word"][far], return_index=True, return_counts=True)
+        rare: list[list[bytes]] = [[] for _ in doc_ids]
+        often: list[list[int]] = [[] for _ in doc_ids]
+        for doc, word, n_word in zip((key >> 32).tolist(), map(flat["tokens"].__getitem__, far[at].tolist()), many.tolist(), strict=True):
             if came := times.get(word):
-                base[doc] += math.log10(came + 1)
-                known[doc] += 1
+                base[doc] += n_word * math.log10(came + 1)
+                known[doc] += n_word
             else:
-                rare[doc][word] = rare[doc].get(word, 0) + 1
-        for values in zip(doc_ids, n_tokens, size, bits.tolist(), known, base, rare, strict=True):
-            rows.add(*values[:6], list(values[6]), list(values[6].values()), size=80 + 24 * len(values[6]))
+                rare[doc].append(word)
+                often[doc].append(n_word)
+        for values in zip(doc_ids, n_tokens, size, bits.tolist(), known, base, rare, often, strict=True):
+            rows.add(*values, size=80 + 24 * len(values[6]))
             yield from rows.take()
     yield from rows.take(force=True)
 

@@ -226,3 +226,104 @@ def test_parts_of_long_texts(monkeypatch):
     found = list(scoring.parts(text))
     assert [w for p in found for w in p] == [*text.split(), b" "] and len(found) > 10
     assert list(scoring.parts(b"")) == [[b" "]]
+
+
+class Moving(Plain):
+    """The whole method, event by event: every event moves its gate's weights and its level of the adaptive map."""
+
+    def inputs(self, token):
+        """(cell key of the text's own counts or None, gate, log-odds of the predictors, bit) of all events of a token."""
+        run, guess, hit, context, word = token
+        step = lambda x, size: round(x * size) / size
+        if guess is not None:
+            x = self.odds(*self.repeats[run])
+            yield run, mixing.REPEAT + run, [x, step(self.narrow(self.repeats[run, guess], x), mixing.ODDS)], int(hit)
+        if hit:
+            return
+        for depth, (node, bit) in enumerate(self.path(self.m.tree, self.symbol(word))):
+            n = sum(self.pairs[context, node])
+            rank = sum(n >= t for t in mixing.TIMES)
+            gate = mixing.FIRST + min(rank, len(mixing.RUNS)) if node == 0 else mixing.INNER + rank
+            x = self.odds(*self.nodes[node])
+            yield node + 8 if depth < mixing.NEAR_STEPS else None, gate, [x, step(self.narrow(self.pairs[context, node], x), mixing.ODDS)], bit
+        if self.symbol(word) == self.size:
+            cells = mixing.letter_cells(self.m.letter_tree, [word])[2][mixing.OWN_LETTERS - 1].tolist()
+            for cell, (key, bit, at) in zip(cells, self.spelling(word), strict=True):
+                seen = [sum(self.letters[k]) for k in key]
+                known = sum(s > 0 for s in seen)
+                gate = mixing.LETTER + 2 * known + (known > 0 and seen[known - 1] >= 8)
+                x = [step(self.odds(*self.letters[k]), mixing.LETTER_ODDS) for k in key]
+                yield cell - (1 << mixing.SLOT_BITS) if at < mixing.NEAR_LETTERS else None, gate, x, bit
+
+    @staticmethod
+    def missed(y, bit):
+        miss = bit - 1 / (1 + math.exp(-y))
+        return miss, abs(miss) * max(1 - abs(miss), 0.5)
+
+    def bits(self, text):
+        room = 1 << math.ceil(math.log2(8 * len(text)))
+        weights = {g: np.array(w[g], float) for w, gates in ((self.m.weights, range(mixing.LETTER)), (self.m.letter_weights, range(mixing.LETTER, mixing.GATES))) for g in gates}
+        held, held_share, held_map = (defaultdict(lambda at=at: at) for at in (mixing.INERTIA * mixing.SQUARE, mixing.INERTIA, mixing.MAP_INERTIA))
+        share, refined, own = defaultdict(lambda: mixing.OWN_SHARE), defaultdict(float), defaultdict(lambda: [0, 0])
+        total, at, block, walked = 0.0, 0, mixing.BLOCKS[0], list(self.walk(text))
+        while at < len(text):
+            slopes, sums, maps, came = defaultdict(float), defaultdict(lambda: np.zeros(3)), defaultdict(lambda: np.zeros(2)), []
+            for token in walked[at : at + block]:
+                for key, gate, x, bit in self.inputs(token):
+                    x, new = np.array([*x, 1.0]), 0.0
+                    y = min(20, max(-20, weights[gate] @ x))
+                    if key is not None:
+                        cell = gate < mixing.LETTER, ((key * 0x9E3779B1) >> 7) & (room - 1)
+                        p = 1 / (1 + math.exp(-y))
+                        new = self.odds(*own[cell], mixing.OWN_PRIOR * (1 - p), mixing.OWN_PRIOR * p) - y
+                        y += share[gate] * new
+                        came.append((cell, bit))
+                    miss, bend = self.missed(y, bit)
+                    slopes[gate] += miss * x
+                    sums[gate] += [bend * (x @ x), miss * new, bend * new * new]
+                    level = gate, round(min(mixing.TOP, max(-mixing.TOP, y)))
+                    y += refined[level]
+                    total += math.log2(1 + math.exp(-y if bit else y))
+                    maps[level] += self.missed(y, bit)
+            for gate, (norm, miss_new, bend_new) in sums.items():
+                held[gate] += norm
+                weights[gate] += slopes[gate] / (2 * held[gate])
+                held_share[gate] += bend_new
+                share[gate] = min(2, max(0, share[gate] + miss_new / held_share[gate]))
+            for level, (miss, bend) in maps.items():
+                held_map[level] += bend
+                refined[level] += miss / held_map[level]
+            for cell, bit in came:
+                own[cell][bit] += 1
+            at, block = at + block, min(2 * block, mixing.BLOCKS[1])
+        return total
+
+
+def test_bits_against_the_moving_model(learnt, corpus):
+    """Letters' contexts may collide, hence the tolerance."""
+    model, ids, texts = learnt
+    plain = Moving(model, ids, texts)
+    rng = random.Random(3)
+    strange = [b"".join(rng.choice([b"zq", b"xj", b"th", b"7"]) for _ in range(6)) for _ in range(300)]
+    chosen = [tokens(t) for _, t in corpus if len(t or "") < 4000] + [tokens("a b c d e f g " * 60), [*strange, b" "], [b"x" * 400, b" "]]
+    got = model.costs(model.flat(chosen, ids))
+    for text, bits in zip(chosen, got.tolist(), strict=True):
+        assert bits == pytest.approx(plain.bits(text), rel=2e-3, abs=0.6)
+
+
+def test_late_letters_are_learnt_within_a_text(learnt):
+    """Words that differ in their first letters, and whose other letters the learning texts never have in this order."""
+    model, ids, _ = learnt
+    rng = random.Random(1)
+    words = [bytes([97 + k // 26, 97 + k % 26, *rng.choices(b"theronai", k=12)]) for k in range(600)]
+    few, many = model.costs(model.flat([words[:32], words], ids)) / [32, 600]
+    assert many < 0.85 * few
+
+
+def test_texts_of_all_sizes_together(learnt, corpus):
+    """Costs depend neither on the other texts, nor on how many texts' events are worked on together, nor on long words."""
+    model, ids, texts = learnt
+    chosen = [[b" "], *texts, [b"y" * 5000, b"k" * 70, b" "], [b"w%d" % k for k in range(3000)], [b" "]]
+    together = model.costs(model.flat(chosen, ids)).tolist()
+    for text, bits in zip(chosen, together, strict=True):
+        assert model.costs(model.flat([text], ids))[0] == pytest.approx(bits, rel=1e-9)
