@@ -224,13 +224,14 @@ def spelled(words: list[bytes]) -> tuple[np.ndarray, ...]:
 def letter_cells(tree: Tree, words: list[bytes]) -> tuple[np.ndarray, ...]:
     """(index of the word, bit, cells (ORDERS, events), place of the letter) of every event of the words' letters."""
     data, hashes, word, depth = spelled(words)
-    of, node, bit = tree.events(data)
-    cells = np.empty((ORDERS, len(of)), np.int64)
+    _, node, bit = tree.events(data, tree.length.max())
+    steps = tree.length.take(data)
+    cells = np.empty((ORDERS, len(bit)), np.int64)
     stepped = (node.astype(np.uint32) + np.uint32(1)) * np.uint32(0x85EBCA6B)
     for k in range(ORDERS):
-        own = (hashes[k].take(of) ^ stepped) * np.uint32(0xC2B2AE35)
+        own = (np.repeat(hashes[k], steps) ^ stepped) * np.uint32(0xC2B2AE35)
         cells[k] = own >> np.uint32(32 - SLOT_BITS)
-    return word.take(of), bit, cells, depth.take(of)
+    return np.repeat(word, steps), bit, cells, np.repeat(depth, steps)
 
 
 _LOGS = np.log(np.arange(1 << 16) + PRIOR).astype(np.float32)
@@ -424,14 +425,14 @@ def laid(starts: np.ndarray, sizes: np.ndarray, *of: np.ndarray) -> tuple[np.nda
 
 
 def missed(sign: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(slope of the log-odds y towards what came, its bend, natural logarithm of what it cost).
+    """(slope of the log-odds y towards what came, its bend, one over the probability of what came).
 
     After an error the bend is no less than half the chance given to it, so that a step away from a sure error is not too long.
     """
     odds = np.exp(np.clip(-sign * y, -20, 20))
     both = 1 + odds
     wrong = odds / both
-    return sign * wrong, wrong * np.maximum(1 - wrong, np.float32(0.5)), np.log(both)
+    return sign * wrong, wrong * np.maximum(1 - wrong, np.float32(0.5)), both
 
 
 class Online:
@@ -472,10 +473,10 @@ class Online:
         miss, bend, _ = missed(sign, y)
         slopes = [np.bincount(cell, miss * x, size) for x in inputs]
         slopes.append(np.bincount(cell, miss, size))
-        norm = bend.copy()
-        for x in inputs:
-            norm += bend * x * x
-        held += np.bincount(cell, norm, size)
+        norm = 1 + inputs[0] * inputs[0]
+        for x in inputs[1:]:
+            norm += x * x
+        held += np.bincount(cell, bend * norm, size)
         for w, slope in zip(weights, slopes, strict=True):
             w += slope / (2 * held)
         held_share += np.bincount(by, bend[near] * news * news, size)
@@ -484,8 +485,8 @@ class Online:
         # the adaptive map: what became of such log-odds behind the same gate
         level = np.rint(np.clip(y, -TOP, TOP)).astype(np.int64) + (cell * LEVELS + TOP)
         y += refined.take(level)
-        miss, bend, cost = missed(sign, y)
-        self.bits[low:high] += np.bincount(owner, cost, high - low) * (1 / np.log(2))
+        miss, bend, inverse = missed(sign, y)
+        self.bits[low:high] += np.bincount(owner, np.log(inverse), high - low) * (1 / np.log(2))
         held_map += np.bincount(level, bend, size * LEVELS)
         refined += np.bincount(level, miss, size * LEVELS) / held_map
         self.own.add(local, bit[near])
@@ -512,7 +513,12 @@ class Spelled:
 
 
 def grown(values: np.ndarray, size: int) -> np.ndarray:
-    return values if size <= len(values) else np.concatenate([values, np.zeros((max(size, 2 * len(values)) - len(values), *values.shape[1:]), values.dtype)])
+    """With room for more; what is not written yet takes no memory."""
+    if size <= len(values):
+        return values
+    out = np.zeros((max(size, 2 * len(values)), *values.shape[1:]), values.dtype)
+    out[: len(values)] = values
+    return out
 
 
 def flattened(texts: list[list[bytes]], alphabet: dict[bytes, int], classes: int, others: dict[bytes, int]) -> dict:
@@ -528,8 +534,12 @@ def flattened(texts: list[list[bytes]], alphabet: dict[bytes, int], classes: int
     starts, of = np.cumsum(sizes) - sizes, np.repeat(np.arange(len(texts)), sizes)
     far = np.nonzero(found < 0)[0]
     word = np.zeros(len(found), np.int64)
+    spelled = [tokens[k] for k in far.tolist()]
+    place = np.fromiter(map(others.get, spelled, repeat(-1)), np.int64, len(far))
+    new = np.nonzero(place < 0)[0]
     add = others.setdefault
-    word[far] = [add(tokens[k], len(others)) for k in far.tolist()]
+    place[new] = [add(spelled[k], len(others)) for k in new.tolist()]
+    word[far] = place
     fresh = list(islice(reversed(others), len(others) - before))[::-1]
     symbol, unique = found.copy(), found
     symbol[far] = size

@@ -22,11 +22,11 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -42,8 +42,8 @@ COMMON = 1 << 18
 BATCH_BYTES, PART_BYTES = 512 << 10, 2 << 20
 #: What a text's own state counts for in these.
 TEXT_BYTES = 1 << 10
-#: Words that are spelled together; distinct words that a task holds before it hands their counts on.
-SPELLED, FLUSH_WORDS = 4_000, 600_000
+#: Words that are spelled together; most texts, and about how many of their bytes, whose words are counted together.
+SPELLED, COUNTED_ROWS, COUNTED_BYTES = 4_000, 10_000, 24 << 20
 #: Cells of the blocks in which sums travel.
 BLOCK = 1 << 14
 END = b" "
@@ -78,18 +78,15 @@ def batched(batches) -> Iterator[tuple[list, list[int], list[list[bytes]]]]:
 
 
 def count_words(batches) -> Iterator[pa.RecordBatch]:
-    words: Counter[bytes] = Counter()
-
-    def flush():
-        yield pa.RecordBatch.from_arrays([pa.array(list(words), pa.binary()), pa.array(list(words.values()), pa.int64())], names=["word", "n"])
-        words.clear()
-
-    for _, _, found in batched(batches):
-        for tokens in found:
-            words.update(tokens)
-        if len(words) > FLUSH_WORDS:
-            yield from flush()
-    yield from flush()
+    """How often each token came in some of the texts; a word may come out several times."""
+    for batch in slices(batches, COUNTED_ROWS, COUNTED_BYTES):
+        # bytes that need not be UTF-8: these functions look at ASCII alone
+        texts = pc.ascii_lower(pc.fill_null(batch.column(1), b"").view(pa.string()))
+        counts = pc.value_counts(pc.ascii_split_whitespace(texts).flatten())
+        words, n = counts.field("values").view(pa.binary()), counts.field("counts")
+        some = pc.greater(pc.binary_length(words), 0)
+        yield pa.RecordBatch.from_arrays([words.filter(some), n.filter(some)], names=["word", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array([END], pa.binary()), pa.array([batch.num_rows], pa.int64())], names=["word", "n"])
 
 
 def blocks(counts: np.ndarray) -> Iterator[pa.RecordBatch]:

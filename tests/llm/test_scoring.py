@@ -6,6 +6,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from breakweave.llm import mixing, scoring
@@ -327,3 +328,15 @@ def test_texts_of_all_sizes_together(learnt, corpus):
     together = model.costs(model.flat(chosen, ids)).tolist()
     for text, bits in zip(chosen, together, strict=True):
         assert model.costs(model.flat([text], ids))[0] == pytest.approx(bits, rel=1e-9)
+
+
+def test_words_are_counted_as_bytes():
+    odd = [b"A b\x0bB\x0cc\r\n\tA", b"", None, b"   ", b" \xff\xfe x\xc2\xa0y \x1cz\x85 \xc3\x89 ", "É é ZZ zz w".encode(), b"\x00 a\x00"]
+    texts = odd * 40
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts, pa.binary())], names=["doc_id", "text"])
+    got = Counter()
+    for part in scoring.count_words(iter([batch.slice(0, 3), batch.slice(3)])):
+        got.update({w: 0 for w in part.column(0).to_pylist()})
+        for w, n in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+            got[w] += n
+    assert got == Counter(w for t in texts for p in scoring.parts(t or b"") for w in p)
