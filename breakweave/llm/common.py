@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -10,6 +11,7 @@ from contextlib import contextmanager
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -64,21 +66,81 @@ def scratch(spark: SparkSession) -> Iterator[None]:
             path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def stage(df: DataFrame, lasting: bool = False) -> DataFrame:
-    """Write df to the shared folder and read it back. Later steps start from files that outlive any executor.
+#: Spark's own bound on the bytes of a batch that goes to a Python worker, and what it is inside sparing().
+BATCH, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20
+#: How many sparing() are open.
+_sparing = 0
+
+
+@contextmanager
+def sparing(spark: SparkSession) -> Iterator[None]:
+    """What is staged inside takes little of an executor's memory: batches are small, and files of a local file system are written by Python workers.
+
+    Hadoop's own writer starts chmod twice for each file there, and until such a process runs, its executor's memory counts twice.
+    """
+    global _sparing
+    before = spark.conf.get(BATCH, None)
+    spark.conf.set(BATCH, str(BATCH_BYTES))
+    _sparing += 1
+    try:
+        yield
+    finally:
+        _sparing -= 1
+        spark.conf.unset(BATCH) if before is None else spark.conf.set(BATCH, before)
+
+
+def _written(folder: str, work: Callable | None):
+    """A mapInArrow function: writes a task's rows, or what work() makes of them, to a file that readers ignore until it is renamed, and gives its name."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        name, writer, held, size = f".part-{uuid.uuid4().hex}", None, [], 0
+
+        def flush() -> None:
+            nonlocal writer, held, size
+            if held:
+                writer = writer or pq.ParquetWriter(f"{folder}/{name}", held[0].schema, compression="zstd")
+                writer.write_table(pa.Table.from_batches(held))
+                held, size = [], 0
+
+        try:
+            for batch in work(batches) if work else batches:
+                if batch.num_rows:
+                    held.append(batch)
+                    size += batch.nbytes
+                if size >= FLUSH_BYTES:
+                    flush()
+            flush()
+        finally:
+            if writer:
+                writer.close()
+        yield pa.RecordBatch.from_arrays([pa.array([name] if writer else [], pa.string())], names=["name"])
+
+    return run
+
+
+def stage(df: DataFrame, lasting: bool = False, work: Callable | None = None, schema: str = "") -> DataFrame:
+    """Write df, or df.mapInArrow(work, schema), to the shared folder and read it back. Later steps start from files that outlive any executor.
 
     What was shuffled on the way is of no use any more and goes at once, so that disks hold one step's shuffles and not all.
     """
     spark = df.sparkSession
     path, before = new_path(spark, "staged"), spark.conf.get(CLEANUP, None)
+    made = df.mapInArrow(work, schema) if work else df
     for own in _scratches[-1 - lasting : len(_scratches) - lasting]:
         own.append(path)
     spark.conf.set(CLEANUP, "true")
     try:
-        df.write.option("compression", "zstd").parquet(path)
+        if _sparing and path.startswith("file:/"):
+            folder = "/" + path.removeprefix("file:").lstrip("/")
+            os.makedirs(folder)
+            # a task that ran twice leaves a file that nobody reads
+            for row in df.mapInArrow(_written(folder, work), "name string").collect():
+                os.rename(f"{folder}/{row['name']}", f"{folder}/{row['name'][1:]}.parquet")
+        else:
+            made.write.option("compression", "zstd").parquet(path)
     finally:
         spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(made.schema).parquet(path)
 
 
 def text_bytes(df: DataFrame, id_col: str, text_col: str) -> DataFrame:

@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from breakweave.llm import simhash
-from breakweave.llm.common import scratch, slices, stage
+from breakweave.llm.common import scratch, slices, sparing, stage
 from breakweave.llm.components import components
 
 WORDS, SIMILARITY = 5, 0.8
@@ -274,12 +274,12 @@ def _judged(pairs: DataFrame, printed: DataFrame, rows: DataFrame, words: int, s
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(found, pa.float64())], names=["a", "b", "j"])
 
         both = [own.join(sides[0], "a").join(sides[1], "b").select("a", "b", "t_a", "t_b") for own in _sliced(pairs, TEXT_PAIRS, n)]
-        return _all([stage(x.mapInArrow(alike, "a long, b long, j double"), lasting=True) for x in both])
+        return _all([stage(x, lasting=True, work=alike, schema="a long, b long, j double") for x in both])
 
 
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", fingerprints: bool = False) -> DataFrame:
     """One row of df of each group: that with the smallest id (nulls last), then the smallest digest."""
-    with scratch(df.sparkSession):
+    with scratch(df.sparkSession), sparing(df.sparkSession):
         found = stage(groups(df, id_col, text_col, fingerprints=fingerprints), lasting=True)
     # a third of all texts may be one group: its least member is found by partial aggregation
     order = F.struct(F.col("least").isNull().alias("none"), "least", "digest")

@@ -5,8 +5,9 @@ from collections import defaultdict
 
 import numpy as np
 import xxhash
+from pyspark.sql import functions as F
 
-from breakweave.llm import copies, simhash, substrings
+from breakweave.llm import common, copies, simhash, substrings
 from breakweave.llm.components import components
 
 
@@ -105,6 +106,25 @@ def test_copies_apart_from_the_least_member(spark):
     assert sorted(r["doc_id"] for r in copies.keep_one(df).collect()) == sorted(set(of.values()))
 
 
+def test_near_copies_start_no_process_for_their_files(spark, docs, tmp_path, monkeypatch):
+    """Hadoop's writer starts chmod for a file and for its checksum file; with none of the latter it did not write."""
+    monkeypatch.setattr(common, "shared_dir", lambda spark: f"file://{tmp_path}")
+    rows = [(k, [k, None], (f"t{k}", b"\xff"), None if k % 3 else 0.5) for k in range(50)]
+    table = spark.createDataFrame(rows, "k long, a array<long>, s struct<t: string, b: binary>, x double").repartition(3)
+    with common.sparing(spark):
+        staged = common.stage(table.groupBy("k").agg(*[F.first(c).alias(c) for c in "asx"]))
+        empty = common.stage(table.where("k < 0"))
+        counted = common.stage(table.select("k"), work=lambda batches: batches, schema="k long")
+    assert sorted(map(tuple, staged.collect())) == rows and staged.schema.names == table.schema.names
+    assert not empty.collect() and empty.schema == table.schema
+    assert sorted(r["k"] for r in counted.collect()) == [*range(50)]
+    before = spark.conf.get(common.BATCH)
+    copies.keep_one(docs, fingerprints=True).collect()
+    assert spark.conf.get(common.BATCH) == before
+    files = [p.name for p in tmp_path.rglob("*") if p.is_file()]
+    assert len(files) > 4 and all(x.startswith("part-") and x.endswith(".parquet") for x in files)
+
+
 def test_near_copies_of_every_kind_are_found(spark):
     """A block appended, the tail cut off, the last words changed, in short and long texts."""
     rng = random.Random(12)
