@@ -53,8 +53,6 @@ SQUARE = 8.0
 TOGETHER = 8192
 #: Places up to which events are laid out place by place.
 DEEP = 64
-#: Spelled words that a worker remembers.
-REMEMBERED = 250_000
 END = 32
 #: A predictor's log-odds are kept in steps of 1 / ODDS, beside the gate; those of letters in steps of 1 / LETTER_ODDS.
 ODDS, GATE_BITS, LETTER_ODDS = 32, 5, 12
@@ -344,17 +342,17 @@ class Model:
         near = np.diff(np.concatenate([[0], np.cumsum(letter < NEAR_LETTERS)])[first])
         return first, near, odds, (gate << 1 | bit).astype(np.uint8), cells[OWN_LETTERS - 1]
 
+    def remember(self, words: list[bytes]) -> None:
+        """Keep what spell() gives for these, outside the alphabet, from the first time they come; their places are their numbers."""
+        self.memory = Spelled(words)
+
     def flat(self, texts: list[list[bytes]], alphabet: dict[bytes, int]) -> dict:
         """flattened() texts, whose spelled words are remembered until the next call."""
-        memory = self.__dict__.get("memory")
-        if memory is None:
-            memory = self.memory = Spelled()
-        if len(memory.place) > REMEMBERED:
-            memory.place.clear()
-        n = len(memory.place)
-        found = flattened(texts, alphabet, self.classes, memory.place)
-        if found["fresh"]:
-            memory.add(self, n, found["fresh"])
+        if "memory" not in self.__dict__:
+            self.remember([])
+        self.memory.forget()
+        found = flattened(texts, alphabet, self.classes, self.memory.place)
+        self.memory.add(self, found["word"].take(found["far"]), found["fresh"])
         return found
 
     def costs(self, flat: dict) -> np.ndarray:
@@ -398,9 +396,9 @@ class Model:
 
     def _letters(self, word: np.ndarray, text: np.ndarray, own: Own) -> tuple:
         """Events for Online.block(): the letters of spelled words."""
-        first, (odds, gates, cells) = self.memory.first, self.memory.events
-        start = first.take(word)
-        event, _, (owner, near) = laid(start, first.take(word + 1) - start, text, start + self.memory.near.take(word))
+        odds, gates, cells = self.memory.events
+        start = self.memory.first.take(word)
+        event, _, (owner, near) = laid(start, self.memory.size.take(word), text, start + self.memory.near.take(word))
         x = odds.view(np.int32).ravel().take(event).view(np.int8).reshape(-1, ORDERS).T * np.float32(1 / LETTER_ODDS)
         both = gates.take(event)
         near = np.nonzero(event < near)[0]
@@ -493,20 +491,33 @@ class Online:
 
 
 class Spelled:
-    """What Model.spell() gave for words that a worker has met; it starts afresh after REMEMBERED words."""
+    """What Model.spell() gave: of the words to keep, for as long as the worker lives; of all others, until forget()."""
 
-    def __init__(self):
-        self.place: dict[bytes, int] = {}
-        self.first, self.near = np.zeros(1, np.int64), np.zeros(0, np.int64)
+    def __init__(self, words: list[bytes]):
+        self.words, self.kept = words, len(words)
+        self.place = {w: k for k, w in enumerate(words)}
+        self.first, self.size, self.near = (np.zeros(self.kept, np.int64) for _ in range(3))
+        self.known, self.upto = np.zeros(self.kept, bool), 0
         self.events = [np.zeros((0, ORDERS), np.int8), np.zeros(0, np.uint8), np.zeros(0, np.int32)]
 
-    def add(self, model: Model, n: int, fresh: list[bytes]) -> None:
-        """Words after the first n."""
-        first, near, *events = model.spell(fresh)
-        start, stop = int(self.first[n]), n + len(fresh)
-        self.first, self.near = grown(self.first, stop + 1), grown(self.near, stop)
-        self.first[n : stop + 1] = start + first
-        self.near[n:stop] = near
+    def forget(self) -> None:
+        """Drop the words that are not kept, which joined last; the next ones take their room."""
+        while len(self.place) > self.kept:
+            self.place.popitem()
+
+    def add(self, model: Model, places: np.ndarray, fresh: list[bytes]) -> None:
+        """Words that came: those at these places, of which the fresh ones, if any, joined just now and are not kept."""
+        places = places[places < self.kept]
+        new = np.unique(places[~self.known.take(places)])
+        start, many = self.upto, len(new) + len(fresh)
+        if not many:
+            return
+        first, near, *events = model.spell([*map(self.words.__getitem__, new.tolist()), *fresh])
+        at = np.concatenate([new, np.arange(self.kept, self.kept + len(fresh))])
+        self.first, self.size, self.near = (grown(x, self.kept + len(fresh)) for x in (self.first, self.size, self.near))
+        self.first[at], self.size[at], self.near[at] = start + first[:-1], np.diff(first), near
+        self.known[new] = True
+        self.upto += int(first[len(new)])
         for k, own in enumerate(events):
             self.events[k] = grown(self.events[k], start + len(own))
             self.events[k][start : start + len(own)] = own

@@ -23,16 +23,18 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from breakweave.llm import mixing
-from breakweave.llm.common import Rows, slices, stage, text_bytes
+from breakweave.llm.common import slices, sparing, stage, text_bytes
 
 #: Most words of the alphabet, and frequent words that serve as contexts.
 ALPHABET, CLASSES = 1 << 16, 128
@@ -77,16 +79,31 @@ def batched(batches) -> Iterator[tuple[list, list[int], list[list[bytes]]]]:
         yield ids, of, found
 
 
+def together(batches) -> Iterator[list[pa.Array]]:
+    """Texts of several batches, of at most about COUNTED_ROWS rows and COUNTED_BYTES."""
+    held, rows, size = [], 0, 0
+    for batch in slices(batches, COUNTED_ROWS, COUNTED_BYTES):
+        texts = pc.fill_null(batch.column(1), b"")
+        many = pc.sum(pc.binary_length(texts)).as_py() or 0
+        if held and (rows + len(texts) > COUNTED_ROWS or size + many > COUNTED_BYTES):
+            yield held
+            held, rows, size = [], 0, 0
+        held.append(texts)
+        rows, size = rows + len(texts), size + many
+    if held:
+        yield held
+
+
 def count_words(batches) -> Iterator[pa.RecordBatch]:
     """How often each token came in some of the texts; a word may come out several times."""
-    for batch in slices(batches, COUNTED_ROWS, COUNTED_BYTES):
+    for texts in together(batches):
         # bytes that need not be UTF-8: these functions look at ASCII alone
-        texts = pc.ascii_lower(pc.fill_null(batch.column(1), b"").view(pa.string()))
-        counts = pc.value_counts(pc.ascii_split_whitespace(texts).flatten())
+        words = [pc.ascii_split_whitespace(pc.ascii_lower(x.view(pa.string()))).flatten() for x in texts]
+        counts = pc.value_counts(pa.chunked_array(words))
         words, n = counts.field("values").view(pa.binary()), counts.field("counts")
         some = pc.greater(pc.binary_length(words), 0)
         yield pa.RecordBatch.from_arrays([words.filter(some), n.filter(some)], names=["word", "n"])
-        yield pa.RecordBatch.from_arrays([pa.array([END], pa.binary()), pa.array([batch.num_rows], pa.int64())], names=["word", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array([END], pa.binary()), pa.array([sum(map(len, texts))], pa.int64())], names=["word", "n"])
 
 
 def blocks(counts: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -208,53 +225,55 @@ def learnt(learning: DataFrame, words: DataFrame, ids: dict[bytes, int]) -> mixi
     return model
 
 
-SCORED = pa.schema(
-    [("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("bytes", pa.int64()), ("bits", pa.float64()), ("known", pa.int64()), ("base", pa.float64()), ("rare", pa.list_(pa.binary())), ("times", pa.list_(pa.int64()))]
-)
+SCORED = "row long, doc_id long, n_tokens long, bytes long, bits double, known long, base double, rare array<binary>, times array<long>"
 
 
-def score_batches(model: mixing.Model, ids: dict[bytes, int], times: dict[bytes, int], batches) -> Iterator[pa.RecordBatch]:
-    """times: how often each common word came; the other words of a text go into `rare`."""
-    rows = Rows(SCORED)
-    seen = np.array([times[w] for w in ids] + [0], np.int64)
-    logs = np.log10(seen + 1.0)
+def score_batches(model: mixing.Model, ids: dict[bytes, int], times: np.ndarray, others: list[bytes], batches) -> Iterator[pa.RecordBatch]:
+    """times: how often each word of the alphabet came, then each of `others`, the common words outside it; any other word of a text goes into `rare`."""
+    if "memory" not in model.__dict__:  # the model stays with the worker
+        model.remember(others)
+    size, common = len(ids), len(others)
+    # spelled words are judged below
+    seen = np.append(times[:size], 0)
+    logs, far_seen = np.log10(seen + 1.0), times[size:]
+    far_logs = np.log10(far_seen + 1.0)
+    row = TaskContext.get().partitionId() << 33
     for doc_ids, of, found in batched(batches):
         flat = model.flat(found, ids)
         of, n = np.array(of), len(doc_ids)
         bits = np.bincount(of, model.costs(flat), n)
         own = np.repeat(of, flat["sizes"])
-        base = np.bincount(own, logs[flat["symbol"]], n).tolist()
-        known = np.bincount(own, seen[flat["symbol"]] > 0, n).astype(np.int64).tolist()
-        n_tokens = np.bincount(own, minlength=n).tolist()
-        size = np.bincount(of, [sum(map(len, x)) + len(x) for x in found], n).astype(np.int64).tolist()
+        base = np.bincount(own, logs[flat["symbol"]], n)
+        known = np.bincount(own, seen[flat["symbol"]] > 0, n)
+        n_tokens = np.bincount(own, minlength=n)
+        bytes_ = np.bincount(of, [sum(map(len, x)) + len(x) for x in found], n)
         # each spelled word of a document once
         far = flat["far"]
         key, at, many = np.unique(own[far] << 32 | flat["word"][far], return_index=True, return_counts=True)
-        rare: list[list[bytes]] = [[] for _ in doc_ids]
-        often: list[list[int]] = [[] for _ in doc_ids]
-        for doc, word, n_word in zip((key >> 32).tolist(), map(flat["tokens"].__getitem__, far[at].tolist()), many.tolist(), strict=True):
-            if came := times.get(word):
-                base[doc] += n_word * math.log10(came + 1)
-                known[doc] += n_word
-            else:
-                rare[doc].append(word)
-                often[doc].append(n_word)
-        for values in zip(doc_ids, n_tokens, size, bits.tolist(), known, base, rare, often, strict=True):
-            rows.add(*values, size=80 + 24 * len(values[6]))
-            yield from rows.take()
-    yield from rows.take(force=True)
+        doc, word = key >> 32, key & 0xFFFFFFFF
+        met = word < common
+        base += np.bincount(doc[met], many[met] * far_logs[word[met]], n)
+        known += np.bincount(doc[met], many[met] * (far_seen[word[met]] > 0), n)
+        rare = pa.array(map(flat["tokens"].__getitem__, far[at[~met]].tolist()), pa.binary())
+        ends = pa.array(np.concatenate([[0], np.cumsum(np.bincount(doc[~met], minlength=n))]), pa.int32())
+        lists = [pa.ListArray.from_arrays(ends, x) for x in (rare, pa.array(many[~met], pa.int64()))]
+        columns = [np.arange(row, row + n), pa.array(doc_ids, pa.int64()), n_tokens, bytes_.astype(np.int64), bits, known.astype(np.int64), base, *lists]
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=[x.split()[0] for x in SCORED.split(", ")])
+        row += n
 
 
 def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", alphabet: int = ALPHABET, common: int = COMMON) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte): a row for each row of df."""
     spark = df.sparkSession
     learning = text_bytes(df.where(~held_out(F.col(id_col))), id_col, text_col)
-    words = stage(learning.mapInArrow(count_words, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")))
-    n, v = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    ids, times = vocabulary(words, alphabet, common)
-    ready = spark.sparkContext.broadcast((learnt(learning, words, ids), ids, times))
-    scored = text_bytes(df, id_col, text_col).mapInArrow(lambda batches: score_batches(*ready.value, batches), "doc_id long, n_tokens long, bytes long, bits double, known long, base double, rare array<binary>, times array<long>")
-    scored = stage(scored.withColumn("row", F.monotonically_increasing_id()))
+    with sparing(spark):
+        words = stage(learning.mapInArrow(count_words, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")))
+        n, v = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
+        ids, times = vocabulary(words, alphabet, common)
+        others = [w for w in times if w not in ids]
+        ready = spark.sparkContext.broadcast((learnt(learning, words, ids), ids, np.array([times[w] for w in chain(ids, others)], np.int64), others))
+        scored = stage(text_bytes(df, id_col, text_col), work=lambda batches: score_batches(*ready.value, batches), schema=SCORED)
+        ready.unpersist()
     rare = scored.select("row", F.explode(F.arrays_zip("rare", "times")).alias("w")).select("row", F.col("w.rare").alias("word"), F.col("w.times").alias("times"))
     found = rare.join(words, "word").groupBy("row").agg(F.sum("times").alias("rare_known"), F.sum(F.col("times") * F.log10(F.col("n") + 1.0)).alias("rare_base"))
     zero = F.lit(0.0)

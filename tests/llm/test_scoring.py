@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from breakweave.llm import mixing, scoring
+from breakweave.llm import common, mixing, scoring
 from breakweave.llm.common import stage, text_bytes
 
 
@@ -340,3 +340,34 @@ def test_words_are_counted_as_bytes():
         for w, n in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
             got[w] += n
     assert got == Counter(w for t in texts for p in scoring.parts(t or b"") for w in p)
+
+
+def test_workers_keep_common_words_alone(learnt):
+    """Rare words came once or a few times among all texts: a worker that kept them grew with its input."""
+    model, ids, _ = learnt
+    model.remember([b"common-word", b"other-common"])
+    few = [[b"common-word", *(b"rare%d" % k for k in range(500)), b" "]]
+    first = model.costs(model.flat(few, ids))
+    model.flat([[b"common-word", b" "]], ids)
+    assert [*model.memory.place] == [b"common-word", b"other-common"] and model.memory.known.tolist() == [True, False]
+    room = len(model.memory.events[1])
+    for k in range(20):
+        model.flat([[w.replace(b"rare", b"as%02d" % k) for w in few[0]]], ids)
+    assert len(model.memory.events[1]) <= 2 * room
+    # what lies in their room now is of other words
+    assert model.costs(model.flat(few, ids)).tolist() == first.tolist()
+
+
+def test_staged_files_take_little_memory(docs, monkeypatch, tmp_path):
+    """Spark's own writer counts an executor's memory twice, and large batches fill its workers."""
+    seen = []
+
+    def watched(df, **more):
+        out = stage(df, **more)
+        seen.append((df.sparkSession.conf.get(common.BATCH), [f for f in out.inputFiles() if f.endswith(".zstd.parquet")]))
+        return out
+
+    monkeypatch.setattr(common, "shared_dir", lambda _: f"file://{tmp_path}")
+    monkeypatch.setattr(scoring, "stage", watched)
+    scoring.score(docs, common=50).count()
+    assert seen == [(str(common.BATCH_BYTES), [])] * 2
