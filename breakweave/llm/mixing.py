@@ -51,6 +51,8 @@ LEVELS = 2 * TOP + 1
 SQUARE = 8.0
 #: Tokens whose events are worked on together.
 TOGETHER = 8192
+#: Events whose products are summed at once: short ones stay in a cache.
+PRODUCT = 8192
 #: Places up to which events are laid out place by place.
 DEEP = 64
 END = 32
@@ -111,11 +113,6 @@ class Tree:
         upto = np.concatenate([[0], np.cumsum(leaves[self.order])])
         return upto[self.mid] - upto[self.low], upto[self.high] - upto[self.mid]
 
-    def events(self, leaves: np.ndarray, most: int = 64) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(index of the leaf, node, bit) of the first steps of the leaves' paths."""
-        of, at = ranged(self.offset.take(leaves), np.minimum(self.length.take(leaves), most))
-        return of, self.path.take(at), self.bit.take(at)
-
 
 def ranged(starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(index of the range, value) of all values of the ranges, one range after another."""
@@ -150,8 +147,8 @@ def newton_sums(weights: np.ndarray, events: Events) -> tuple[np.ndarray, np.nda
     for x, gate, bit, times in events:
         order = np.argsort(gate.astype(np.uint8), kind="stable")
         ends = np.searchsorted(gate[order], np.arange(len(weights) + 1))
-        for g in np.nonzero(np.diff(ends))[0]:
-            at = order[ends[g] : ends[g + 1]]
+        for g, low in [(g, low) for g in np.nonzero(np.diff(ends))[0] for low in range(ends[g], ends[g + 1], PRODUCT)]:
+            at = order[low : min(low + PRODUCT, ends[g + 1])]
             own = np.concatenate([x.take(at, axis=1), np.ones((1, len(at)), np.float32)])
             p = sigmoid(weights[g].astype(np.float32) @ own)
             n = times.take(at).astype(np.float32)
@@ -222,14 +219,17 @@ def spelled(words: list[bytes]) -> tuple[np.ndarray, ...]:
 def letter_cells(tree: Tree, words: list[bytes]) -> tuple[np.ndarray, ...]:
     """(index of the word, bit, cells (ORDERS, events), place of the letter) of every event of the words' letters."""
     data, hashes, word, depth = spelled(words)
-    _, node, bit = tree.events(data, tree.length.max())
-    steps = tree.length.take(data)
-    cells = np.empty((ORDERS, len(bit)), np.int64)
-    stepped = (node.astype(np.uint32) + np.uint32(1)) * np.uint32(0x85EBCA6B)
+    of, at = ranged(tree.offset.take(data), tree.length.take(data))
+    cells = np.empty((ORDERS, len(of)), np.int64)
+    stepped = ((tree.path.astype(np.uint32) + np.uint32(1)) * np.uint32(0x85EBCA6B)).take(at)
     for k in range(ORDERS):
-        own = (np.repeat(hashes[k], steps) ^ stepped) * np.uint32(0xC2B2AE35)
-        cells[k] = own >> np.uint32(32 - SLOT_BITS)
-    return np.repeat(word, steps), bit, cells, np.repeat(depth, steps)
+        # much faster than to repeat so few times
+        own = hashes[k].take(of)
+        own ^= stepped
+        own *= np.uint32(0xC2B2AE35)
+        own >>= np.uint32(32 - SLOT_BITS)
+        cells[k] = own
+    return word.take(of), tree.bit.take(at), cells, depth.take(of)
 
 
 _LOGS = np.log(np.arange(1 << 16) + PRIOR).astype(np.float32)
@@ -271,6 +271,21 @@ def starting_weights(size: int) -> np.ndarray:
     return w
 
 
+def _letter_gates() -> np.ndarray:
+    """The gate of each way in which the orders, two bits for each, know an event: whether it came, and whether often."""
+    met = np.arange(1 << 2 * ORDERS)
+    known, best = np.zeros(len(met), np.int64), np.zeros(len(met), np.int64)
+    for k in range(ORDERS):
+        came, often = met >> 2 * k & 1, met >> 2 * k + 1 & 1
+        known += came
+        # whether the longest order that knows the event has met it often
+        best = np.maximum(best, came * (2 * k + 2 + often))
+    return (LETTER + 2 * known + (best & 1)).astype(np.uint8)
+
+
+_GATES = _letter_gates()
+
+
 class Own:
     """The texts' own counts of zeros and ones: eight hashed cells a token."""
 
@@ -309,7 +324,8 @@ class Model:
         nodes = np.arange(self.tree.nodes)
         self.alone = log_odds(zeros, ones)
         self.steps = (self.tree.path << 1 | self.tree.bit).astype(np.int32)
-        self.named = np.empty((len(pairs), self.tree.nodes), np.int16)
+        # a node's contexts lie side by side: few nodes, those near the root, are asked for most
+        self.named = np.empty((self.tree.nodes, len(pairs)), np.int16).T
         for c, own in enumerate(pairs):
             n0, n1 = self.tree.counts(own)
             self.named[c] = packed(narrowed(n0, n1, self.alone), node_gate(nodes, n0 + n1))
@@ -329,30 +345,22 @@ class Model:
     def spell(self, words: list[bytes]) -> tuple[np.ndarray, ...]:
         """(first event of each word and after the last, how many events are near, log-odds (events, ORDERS) in steps, gates and bits, cells of the text's own counts)."""
         word, bit, cells, letter = letter_cells(self.letter_tree, words)
-        known, best = np.zeros(len(bit), np.int16), np.zeros(len(bit), np.int16)
-        odds = np.empty((len(bit), ORDERS), np.int8)
+        odds, met = np.empty((len(bit), ORDERS), np.int8), np.zeros(len(bit), np.uint8)
         for k in range(ORDERS):
             found = self.letters[k].take(cells[k])
             odds[:, k] = found >> 2
-            known += found & 1
-            # whether the longest order that knows the event has met it often
-            best = np.maximum(best, (found & 1) * (2 * k + 2 + ((found >> 1) & 1)))
-        gate = LETTER + 2 * known + (best & 1)
+            met |= (found & 3).astype(np.uint8) << np.uint8(2 * k)
         first = np.searchsorted(word, np.arange(len(words) + 1))
-        near = np.diff(np.concatenate([[0], np.cumsum(letter < NEAR_LETTERS)])[first])
-        return first, near, odds, (gate << 1 | bit).astype(np.uint8), cells[OWN_LETTERS - 1]
-
-    def remember(self, words: list[bytes]) -> None:
-        """Keep what spell() gives for these, outside the alphabet, from the first time they come; their places are their numbers."""
-        self.memory = Spelled(words)
-
-    def flat(self, texts: list[list[bytes]], alphabet: dict[bytes, int]) -> dict:
-        """flattened() texts, whose spelled words are remembered until the next call."""
-        if "memory" not in self.__dict__:
-            self.remember([])
-        self.memory.forget()
-        found = flattened(texts, alphabet, self.classes, self.memory.place)
-        self.memory.add(self, found["word"].take(found["far"]), found["fresh"])
+        near = np.bincount(word[letter < NEAR_LETTERS], minlength=len(words))
+        return first, near, odds, _GATES.take(met) << np.uint8(1) | bit.view(np.uint8), cells[OWN_LETTERS - 1]
+
+    def flat(self, texts: list[list[bytes]], known: dict[bytes, int]) -> dict:
+        """flattened() texts, whose spelled words are remembered until the next call, and those of `known` as long as it is the same."""
+        memory = self.__dict__.get("memory")
+        if memory is None or memory.known is not known:
+            memory = self.memory = Spelled(known, self.other)
+        found = flattened(texts, known, self.other, self.classes)
+        memory.add(self, found["word"].take(found["far"]), found["fresh"])
         return found
 
     def costs(self, flat: dict) -> np.ndarray:
@@ -383,11 +391,11 @@ class Model:
     def _paths(self, flat: dict, token: np.ndarray, symbol: np.ndarray, text: np.ndarray, tried: np.ndarray, asked: np.ndarray, own: Own) -> tuple:
         """Events for Online.block(): repeats that were tried (asked: their texts), and the tokens' paths in the word tree."""
         run, again = flat["run"].take(tried), flat["hit"].take(tried)
-        row = flat["context"].take(token) * self.tree.nodes
-        at, depths, (owner, row) = laid(self.tree.offset.take(symbol), self.tree.length.take(symbol), text, row)
+        context = flat["context"].take(token)
+        at, depths, (owner, context) = laid(self.tree.offset.take(symbol), self.tree.length.take(symbol), text, context)
         step = self.steps.take(at)
         node = step >> 1
-        both = np.concatenate([self.again[run, flat["guess"].take(tried)], self.named.ravel().take(row + node)])
+        both = np.concatenate([self.again[run, flat["guess"].take(tried)], self.named.T.ravel().take(node * np.int64(len(self.named)) + context)])
         inputs = [np.concatenate([self.went_on.take(run), self.alone.take(node)]), (both >> GATE_BITS) * np.float32(1 / ODDS)]
         near = sum(depths[:NEAR_STEPS])
         owner = np.concatenate([asked, owner])
@@ -399,7 +407,8 @@ class Model:
         odds, gates, cells = self.memory.events
         start = self.memory.first.take(word)
         event, _, (owner, near) = laid(start, self.memory.size.take(word), text, start + self.memory.near.take(word))
-        x = odds.view(np.int32).ravel().take(event).view(np.int8).reshape(-1, ORDERS).T * np.float32(1 / LETTER_ODDS)
+        x = odds.view(np.int32).ravel().take(event).view(np.int8).reshape(-1, ORDERS).T.astype(np.float32, order="C")
+        x *= np.float32(1 / LETTER_ODDS)
         both = gates.take(event)
         near = np.nonzero(event < near)[0]
         return list(x), (both >> 1) - np.uint8(LETTER), owner, (both & 1).view(np.int8), near, own.cells(owner.take(near), cells.take(event.take(near)) - np.int64(1 << SLOT_BITS))
@@ -427,10 +436,16 @@ def missed(sign: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
 
     After an error the bend is no less than half the chance given to it, so that a step away from a sure error is not too long.
     """
-    odds = np.exp(np.clip(-sign * y, -20, 20))
-    both = 1 + odds
-    wrong = odds / both
-    return sign * wrong, wrong * np.maximum(1 - wrong, np.float32(0.5)), both
+    wrong = sign * y
+    np.negative(wrong, out=wrong)
+    np.exp(np.clip(wrong, -20, 20, out=wrong), out=wrong)
+    both = 1 + wrong
+    wrong /= both
+    bend = 1 - wrong
+    np.maximum(bend, np.float32(0.5), out=bend)
+    bend *= wrong
+    wrong *= sign
+    return wrong, bend, both
 
 
 class Online:
@@ -491,24 +506,20 @@ class Online:
 
 
 class Spelled:
-    """What Model.spell() gave: of the words to keep, for as long as the worker lives; of all others, until forget()."""
+    """What Model.spell() gave: of known words outside the alphabet, from when they first came; of all others, until the next add()."""
 
-    def __init__(self, words: list[bytes]):
-        self.words, self.kept = words, len(words)
-        self.place = {w: k for k, w in enumerate(words)}
+    def __init__(self, known: dict[bytes, int], size: int):
+        """size: of the alphabet, whose words stand first."""
+        self.known, self.words = known, list(islice(known, size, None))
+        self.kept = len(self.words)
         self.first, self.size, self.near = (np.zeros(self.kept, np.int64) for _ in range(3))
-        self.known, self.upto = np.zeros(self.kept, bool), 0
+        self.met, self.upto = np.zeros(self.kept, bool), 0
         self.events = [np.zeros((0, ORDERS), np.int8), np.zeros(0, np.uint8), np.zeros(0, np.int32)]
 
-    def forget(self) -> None:
-        """Drop the words that are not kept, which joined last; the next ones take their room."""
-        while len(self.place) > self.kept:
-            self.place.popitem()
-
     def add(self, model: Model, places: np.ndarray, fresh: list[bytes]) -> None:
-        """Words that came: those at these places, of which the fresh ones, if any, joined just now and are not kept."""
+        """Words that came: those at these places, of which the fresh ones stand after all known ones."""
         places = places[places < self.kept]
-        new = np.unique(places[~self.known.take(places)])
+        new = np.unique(places[~self.met.take(places)])
         start, many = self.upto, len(new) + len(fresh)
         if not many:
             return
@@ -516,7 +527,7 @@ class Spelled:
         at = np.concatenate([new, np.arange(self.kept, self.kept + len(fresh))])
         self.first, self.size, self.near = (grown(x, self.kept + len(fresh)) for x in (self.first, self.size, self.near))
         self.first[at], self.size[at], self.near[at] = start + first[:-1], np.diff(first), near
-        self.known[new] = True
+        self.met[new] = True
         self.upto += int(first[len(new)])
         for k, own in enumerate(events):
             self.events[k] = grown(self.events[k], start + len(own))
@@ -532,29 +543,22 @@ def grown(values: np.ndarray, size: int) -> np.ndarray:
     return out
 
 
-def flattened(texts: list[list[bytes]], alphabet: dict[bytes, int], classes: int, others: dict[bytes, int]) -> dict:
+def flattened(texts: list[list[bytes]], known: dict[bytes, int], size: int, classes: int) -> dict:
     """Of all tokens: symbol, context, guess (symbol of what came last after the same two tokens, or -1), hit, run, word.
 
-    starts: the first token of each text; others: places of words outside the alphabet, which new ones join; word: a token's
-    place there; far: the tokens that have one; fresh: the new ones.
+    starts: the first token of each text; known: numbers of words, below `size` those of the alphabet, others from size + 1 on;
+    word: the place among the latter, after which the fresh ones stand, that are not known; far: the tokens outside the alphabet.
     """
-    before, size = len(others), len(alphabet)
     tokens = list(chain.from_iterable(texts))
-    found = np.fromiter(map(alphabet.get, tokens, repeat(-1)), np.int64, len(tokens))
+    unique = np.fromiter(map(known.get, tokens, repeat(-1)), np.int64, len(tokens))
     sizes = np.fromiter(map(len, texts), np.int64, len(texts))
     starts, of = np.cumsum(sizes) - sizes, np.repeat(np.arange(len(texts)), sizes)
-    far = np.nonzero(found < 0)[0]
-    word = np.zeros(len(found), np.int64)
-    spelled = [tokens[k] for k in far.tolist()]
-    place = np.fromiter(map(others.get, spelled, repeat(-1)), np.int64, len(far))
-    new = np.nonzero(place < 0)[0]
-    add = others.setdefault
-    place[new] = [add(spelled[k], len(others)) for k in new.tolist()]
-    word[far] = place
-    fresh = list(islice(reversed(others), len(others) - before))[::-1]
-    symbol, unique = found.copy(), found
-    symbol[far] = size
-    unique[far] = size + 1 + word[far]
+    fresh: dict[bytes, int] = {}
+    add, after = fresh.setdefault, max(len(known), size) + 1
+    new = np.nonzero(unique < 0)[0]
+    unique[new] = [add(tokens[k], after + len(fresh)) for k in new.tolist()]
+    far = np.nonzero(unique > size)[0]
+    symbol, word = np.minimum(unique, size), np.maximum(unique - (size + 1), 0)
     # the last frequent word before each token, of the same text
     place = np.arange(len(symbol))
     last = np.maximum.accumulate(np.where(symbol < classes, place, -1))
@@ -580,12 +584,12 @@ def flattened(texts: list[list[bytes]], alphabet: dict[bytes, int], classes: int
         until = np.maximum.accumulate(broken)
         length = np.concatenate([[0], (place - until)[:-1]])
         run = np.searchsorted(RUNS, np.where(place == starts[of], 0, length), side="right")
-    return {"far": far, "sizes": sizes, "starts": starts, "fresh": fresh, "tokens": tokens, "symbol": symbol, "context": context, "guess": guess, "hit": hit, "run": run, "word": word}
+    return {"far": far, "sizes": sizes, "starts": starts, "fresh": list(fresh), "tokens": tokens, "symbol": symbol, "context": context, "guess": guess, "hit": hit, "run": run, "word": word}
 
 
 def add_situations(counts: np.ndarray, texts: list[list[bytes]], alphabet: dict[bytes, int], classes: int) -> None:
     """Count pairs (class before, symbol) and repeats (run, symbol, miss or hit), one after the other, as Model takes them."""
-    flat, n = flattened(texts, alphabet, classes, {}), len(alphabet) + 1
+    flat, n = flattened(texts, alphabet, len(alphabet), classes), len(alphabet) + 1
     tried, hit = flat["guess"] >= 0, flat["hit"]
     named = ~(tried & hit)
     np.add.at(counts, flat["context"][named] * n + flat["symbol"][named], np.uint32(1))

@@ -23,7 +23,6 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -109,7 +108,7 @@ def count_words(batches) -> Iterator[pa.RecordBatch]:
 def blocks(counts: np.ndarray) -> Iterator[pa.RecordBatch]:
     """The blocks of a task's sums that are not all zero."""
     pack = zstandard.ZstdCompressor(level=1)
-    found = [(k, pack.compress(own.astype("<u8").tobytes())) for k in range(0, len(counts), BLOCK) if (own := counts[k : k + BLOCK]).any()]
+    found = [(k, pack.compress(own.astype("<u4").tobytes())) for k in range(0, len(counts), BLOCK) if (own := counts[k : k + BLOCK]).any()]
     for a in range(0, len(found), 64):
         keys, packed = zip(*found[a : a + 64], strict=True)
         yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(packed, pa.binary())], names=["key", "block"])
@@ -121,8 +120,8 @@ def merge(batches) -> Iterator[pa.RecordBatch]:
     unpack, pack = zstandard.ZstdDecompressor(), zstandard.ZstdCompressor(level=1)
     for batch in batches:
         for key, block in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            counts = np.frombuffer(unpack.decompress(block.as_py()), "<u8")
-            total[key] = total[key] + counts if key in total else counts
+            counts = np.frombuffer(unpack.decompress(block.as_py()), "<u4")
+            total[key] = total[key] + counts if key in total else counts.astype("<u8")
     yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array([pack.compress(x.tobytes()) for x in total.values()], pa.binary())], names=["key", "block"])
 
 
@@ -228,36 +227,33 @@ def learnt(learning: DataFrame, words: DataFrame, ids: dict[bytes, int]) -> mixi
 SCORED = "row long, doc_id long, n_tokens long, bytes long, bits double, known long, base double, rare array<binary>, times array<long>"
 
 
-def score_batches(model: mixing.Model, ids: dict[bytes, int], times: np.ndarray, others: list[bytes], batches) -> Iterator[pa.RecordBatch]:
-    """times: how often each word of the alphabet came, then each of `others`, the common words outside it; any other word of a text goes into `rare`."""
-    if "memory" not in model.__dict__:  # the model stays with the worker
-        model.remember(others)
-    size, common = len(ids), len(others)
+def score_batches(model: mixing.Model, known: dict[bytes, int], times: np.ndarray, batches) -> Iterator[pa.RecordBatch]:
+    """known: numbers of the common words, as mixing.flattened() takes them; times: how often each came; any other word of a text goes into `rare`."""
+    size = model.other
     # spelled words are judged below
-    seen = np.append(times[:size], 0)
-    logs, far_seen = np.log10(seen + 1.0), times[size:]
-    far_logs = np.log10(far_seen + 1.0)
+    seen, far_seen = np.append(times[:size], 0), times[size:]
+    logs, far_logs = np.log10(seen + 1.0), np.log10(far_seen + 1.0)
     row = TaskContext.get().partitionId() << 33
     for doc_ids, of, found in batched(batches):
-        flat = model.flat(found, ids)
+        flat = model.flat(found, known)
         of, n = np.array(of), len(doc_ids)
         bits = np.bincount(of, model.costs(flat), n)
         own = np.repeat(of, flat["sizes"])
         base = np.bincount(own, logs[flat["symbol"]], n)
-        known = np.bincount(own, seen[flat["symbol"]] > 0, n)
+        n_known = np.bincount(own, seen[flat["symbol"]] > 0, n)
         n_tokens = np.bincount(own, minlength=n)
         bytes_ = np.bincount(of, [sum(map(len, x)) + len(x) for x in found], n)
         # each spelled word of a document once
         far = flat["far"]
         key, at, many = np.unique(own[far] << 32 | flat["word"][far], return_index=True, return_counts=True)
         doc, word = key >> 32, key & 0xFFFFFFFF
-        met = word < common
+        met = word < len(far_seen)
         base += np.bincount(doc[met], many[met] * far_logs[word[met]], n)
-        known += np.bincount(doc[met], many[met] * (far_seen[word[met]] > 0), n)
+        n_known += np.bincount(doc[met], many[met] * (far_seen[word[met]] > 0), n)
         rare = pa.array(map(flat["tokens"].__getitem__, far[at[~met]].tolist()), pa.binary())
         ends = pa.array(np.concatenate([[0], np.cumsum(np.bincount(doc[~met], minlength=n))]), pa.int32())
         lists = [pa.ListArray.from_arrays(ends, x) for x in (rare, pa.array(many[~met], pa.int64()))]
-        columns = [np.arange(row, row + n), pa.array(doc_ids, pa.int64()), n_tokens, bytes_.astype(np.int64), bits, known.astype(np.int64), base, *lists]
+        columns = [np.arange(row, row + n), pa.array(doc_ids, pa.int64()), n_tokens, bytes_.astype(np.int64), bits, n_known.astype(np.int64), base, *lists]
         yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=[x.split()[0] for x in SCORED.split(", ")])
         row += n
 
@@ -270,8 +266,8 @@ def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", alphabe
         words = stage(learning.mapInArrow(count_words, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")))
         n, v = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
         ids, times = vocabulary(words, alphabet, common)
-        others = [w for w in times if w not in ids]
-        ready = spark.sparkContext.broadcast((learnt(learning, words, ids), ids, np.array([times[w] for w in chain(ids, others)], np.int64), others))
+        known = ids | {w: len(ids) + 1 + k for k, w in enumerate(w for w in times if w not in ids)}
+        ready = spark.sparkContext.broadcast((learnt(learning, words, ids), known, np.array([times[w] for w in known], np.int64)))
         scored = stage(text_bytes(df, id_col, text_col), work=lambda batches: score_batches(*ready.value, batches), schema=SCORED)
         ready.unpersist()
     rare = scored.select("row", F.explode(F.arrays_zip("rare", "times")).alias("w")).select("row", F.col("w.rare").alias("word"), F.col("w.times").alias("times"))

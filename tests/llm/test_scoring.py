@@ -345,16 +345,17 @@ def test_words_are_counted_as_bytes():
 def test_workers_keep_common_words_alone(learnt):
     """Rare words came once or a few times among all texts: a worker that kept them grew with its input."""
     model, ids, _ = learnt
-    model.remember([b"common-word", b"other-common"])
+    known = ids | {b"common-word": len(ids) + 1, b"other-common": len(ids) + 2}
     few = [[b"common-word", *(b"rare%d" % k for k in range(500)), b" "]]
-    first = model.costs(model.flat(few, ids))
-    model.flat([[b"common-word", b" "]], ids)
-    assert [*model.memory.place] == [b"common-word", b"other-common"] and model.memory.known.tolist() == [True, False]
+    first = model.costs(model.flat(few, known))
+    model.flat([[b"common-word", b" "]], known)
+    assert model.memory.words == [b"common-word", b"other-common"] and model.memory.met.tolist() == [True, False]
     room = len(model.memory.events[1])
     for k in range(20):
-        model.flat([[w.replace(b"rare", b"as%02d" % k) for w in few[0]]], ids)
+        model.flat([[w.replace(b"rare", b"as%02d" % k) for w in few[0]]], known)
     assert len(model.memory.events[1]) <= 2 * room
     # what lies in their room now is of other words
+    assert model.costs(model.flat(few, known)).tolist() == first.tolist()
     assert model.costs(model.flat(few, ids)).tolist() == first.tolist()
 
 
